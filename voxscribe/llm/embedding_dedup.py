@@ -164,7 +164,7 @@ def class_links(classes: DataFrame, cosine: float = 0.98, block_dims: int = 8, t
     grid = max(1, min(block_dims, round(np.log(max(most, 1) / 200) / np.log(3))))
     key = ["label", "dim", "block", "cell"]
     rows = written(_placed(classes, grid, block_dims, cosine, seed), "cells")
-    full = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("home").alias("lone"), F.sum(F.col("home").cast("int")).alias("homes")).where("n > 1 and homes > 0")
+    full = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).where("n > 1 and homes > 0")
     full = full.select(*key, F.ceil(F.col("n") / task_rows).cast("int").alias("chunks"))
     rows = rows.join(full, key)
     own = F.pmod(F.xxhash64("class"), F.col("chunks"))
