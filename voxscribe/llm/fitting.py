@@ -72,6 +72,7 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str | None]], np
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(text, F.col("doc_id").cast("long"), lang.alias("lang"))
     kept = rows if carry else rows.drop("text")
+    names = ["score", *kept.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
@@ -86,6 +87,6 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str | None]], np
                 out[at:end] = score(texts[at:end])
                 at = end
             columns = b.columns if carry else b.columns[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(out), *columns], ["score", *kept.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(out), *columns], names)
 
     return rows.mapInArrow(run, StructType([StructField("score", DoubleType()), *kept.schema.fields]))
