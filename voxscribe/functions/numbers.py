@@ -345,7 +345,8 @@ def ordinal_value(words: list[str]) -> int | None:
         if not head:
             return n
         tail = [w for w, v in SMALL.items() if v == n]
-        return spoken_integer([*head, *tail]) if tail and not (n > 9 and head[-1] in TENS) else None
+        joins = head[-1] == "hundred" or head[-1] in POWERS or (head[-1] in TENS and n < 10)
+        return spoken_integer([*head, *tail]) if tail and joins else None
     if last.endswith("th") and (last[:-2] in POWERS or last == "hundredth"):
         scale = last[:-2]
         return spoken_integer([*words[:-1], scale]) if len(words) > 1 else spoken_integer(["one", scale])
