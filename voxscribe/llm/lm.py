@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -54,12 +55,10 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def places(h: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    """Bit numbers of an n-gram's level inside its slab."""
-    a = mixed(h + np.uint64(level * 0xD1342543DE82EF95 % 2**64))
-    b = mixed(a) | np.uint64(1)
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) & np.uint64(bits - 1)
+def place(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+    """The bit number inside its slab that a probe for an n-gram's level looks at."""
+    a = mixed(h + np.uint64((PROBES * level + probe) * 0xD1342543DE82EF95 % 2**64))
+    return a & np.uint64(bits - 1)
 
 
 def slab_of(h: np.ndarray) -> np.ndarray:
@@ -81,11 +80,12 @@ class Filter:
         for level in range(1, self.most_level + 1):
             if not len(alive):
                 break
-            base = slab_of(h[alive]) * self.slabs.shape[1]
-            hit = np.ones(len(alive), dtype=bool)
-            for p in places(h[alive], level, bits):
-                hit &= (flat[base + (p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
+            left = h[alive]
+            for probe in range(PROBES):  # most n-grams that aren't there miss early
+                p = place(left, level, probe, bits)
+                byte = flat[slab_of(left) * self.slabs.shape[1] + (p >> np.uint64(3)).astype(np.int64)]
+                hit = (byte >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                alive, left = alive[hit], left[hit]
             found[alive] = level
         return found
 
@@ -119,12 +119,24 @@ def _word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 def _pair_counts(docs: DataFrame, flush: int = 1_500_000) -> DataFrame:
+    """
+    h and c of every bigram seen at least twice. A task sorts and counts the hashes of some million tokens at once and sends
+    them as packed runs, one for each range of hashes; ranges are merged where they meet. Hashes spread evenly and a task
+    sends a frequent bigram once a run, so no range is hot; there are several ranges for each shuffle partition.
+    """
+    bits = max(8, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, known, parts, size = xxhash.xxh64_intdigest, {}, [], 0
 
         def out():
             h, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            n = n.astype("<u4")
+            cuts = [*np.searchsorted(h, edges).tolist(), len(h)]
+            some = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
+            packed = [[a[cuts[k] : cuts[k + 1]].tobytes() for k in some] for a in (h, n)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["range", "hs", "ns"])
 
         for b in batches:
             for t in b.column(0):
@@ -144,7 +156,25 @@ def _pair_counts(docs: DataFrame, flush: int = 1_500_000) -> DataFrame:
         if parts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: dict[int, tuple[list, list]] = {}
+        for b in batches:
+            for k, h, n in zip(*(c.to_pylist() for c in b.columns)):
+                of = runs.setdefault(k, ([], []))
+                of[0].append(h)
+                of[1].append(n)
+        while runs:
+            _, (hs, ns) = runs.popitem()
+            h, n = np.frombuffer(b"".join(hs), dtype=np.uint64), np.frombuffer(b"".join(ns), dtype="<u4")
+            by = np.argsort(h, kind="stable")
+            h, n = h[by], n[by].astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, n = h[starts], np.add.reduceat(n, starts)
+            h, n = h[n > 1], n[n > 1]
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
+
+    return docs.select("text").mapInArrow(run, "range int, hs binary, ns binary").repartition("range").mapInArrow(merge, "h long, c long")
 
 
 def _least_count(counts: DataFrame, least: int, room: float, steps: float) -> tuple[int, int, int]:
@@ -161,7 +191,7 @@ def fit(train: DataFrame, filter_bits: int = 1 << 28, bits_each: int = 12, steps
     """Counts over all of `train` (a column text): the vocabulary table, its totals, the frequent words' counts and the filter."""
     ship(train.sparkSession)
     vocabulary = written(_word_counts(train), "vocabulary")
-    pairs = written(_pair_counts(train).where("c > 1"), "bigrams")
+    pairs = written(_pair_counts(train), "bigrams")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     first, held, top1 = _least_count(vocabulary, 1, filter_bits / bits_each / 3, steps)
     second, held2, top2 = _least_count(pairs, 2, filter_bits / bits_each / 1.5, steps)
@@ -182,8 +212,8 @@ def fit(train: DataFrame, filter_bits: int = 1 << 28, bits_each: int = 12, steps
         slab = np.zeros(bits, dtype=bool)
         h, level = group["h"].to_numpy().view(np.uint64), group["level"].to_numpy()
         for j in range(1, int(level.max()) + 1):
-            for p in places(h[level >= j], j, bits):
-                slab[p.astype(np.int64)] = True
+            for probe in range(PROBES):
+                slab[place(h[level >= j], j, probe, bits).astype(np.int64)] = True
         return pd.DataFrame({"slab": [group["slab"].iloc[0]], "bytes": [np.packbits(slab, bitorder="little").tobytes()]})
 
     filled = grams.groupBy("slab").applyInPandas(fill, "slab int, bytes binary").toArrow()  # filter_bits at most
@@ -224,6 +254,7 @@ class Scorer:
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.word: list[bytes] = []
         self.hash, self.uni, self.prior, self.base = (np.empty(0, dtype=t) for t in (np.uint64, float, float, float))
 
     def _learn(self, new: list[bytes]) -> None:
@@ -231,22 +262,28 @@ class Scorer:
         count = self.filter.count(self.filter.levels(mixed(h)), 1)
         exact = np.array([self.head.get(w, -1) for w in new], dtype=float)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.word += new
         self.hash = np.concatenate([self.hash, h])
         self.prior = np.concatenate([self.prior, count])
         self.uni = np.concatenate([self.uni, np.where(count > 0, count + self.add, self.unseen) / self.total])
         self.base = np.concatenate([self.base, np.where(exact >= 0, np.log10((np.maximum(exact, 0) + self.add) / self.bottom), np.nan)])
 
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, dict[bytes, int], float]]:
-        """For each text: tokens, tokens known as frequent words, their part of the base score, the other words' counts, the model's log10 probability."""
-        docs = [words_of(t) + [END] for t in texts]
+    def __call__(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
+        """For each text: tokens, tokens known as frequent words, their part of the base score, the model's log10 probability; and the other words, text after text, with their counts and the texts' bounds."""
+        docs = [words_of(t) for t in texts]
+        for d in docs:
+            d.append(END)
         if len(self.place) > 400_000:
             self._clear()
-        new = list(dict.fromkeys(w for d in docs for w in d if w not in self.place))
-        if new:
-            self._learn(new)
-        ids = np.array([self.place[w] for d in docs for w in d], dtype=np.int64)
-        ends = np.cumsum([len(d) for d in docs])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        flat = list(chain.from_iterable(docs))
+        ids = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(ids < 0).tolist()
+        if missing:
+            self._learn(list({flat[i] for i in missing}))
+            ids[missing] = [self.place[flat[i]] for i in missing]
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
         h = self.hash[ids]
         first = np.zeros(len(ids), dtype=bool)
         first[starts] = True
@@ -273,10 +310,17 @@ class Scorer:
         logs = np.log10(trust * bigram + (1 - trust) * self.uni[ids])
         base = self.base[ids]
         rare = np.isnan(base)
-        for d, a, b in zip(docs, starts, ends):
-            part = rare[a:b]
-            others = Counter(d[i] for i in np.flatnonzero(part))
-            yield b - a, int(b - a - part.sum()), float(base[a:b][~part].sum()), others, float(logs[a:b].sum())
+        owner = np.repeat(np.arange(len(docs)), lengths)
+        pairs, times = np.unique(owner[rare] * len(self.word) + ids[rare], return_counts=True)
+        return {
+            "tokens": lengths,
+            "frequent": lengths - np.add.reduceat(rare, starts, dtype=np.int64),
+            "base": np.add.reduceat(np.where(rare, 0.0, base), starts),
+            "score": np.add.reduceat(logs, starts),
+            "words": [self.word[i] for i in pairs % len(self.word)],
+            "times": times,
+            "bounds": np.searchsorted(pairs // len(self.word), np.arange(len(docs) + 1)),
+        }
 
 
 def score(docs: DataFrame, folds: int = 10, held: int = 0, **options) -> DataFrame:
@@ -297,16 +341,11 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, **options) -> DataFra
                 while end < len(texts) and (end == at or size + len(texts[end] or "") < 2_000_000):
                     size += len(texts[end] or "")
                     end += 1
-                out = list(scorer(texts[at:end]))
-                tail = [list(o[3].items()) for o in out]
+                out = scorer(texts[at:end])
+                tail = pa.StructArray.from_arrays([pa.array(out["words"], pa.binary()), pa.array(out["times"], pa.int64())], ["word", "n"])
+                columns = [pa.array(out[name]) for name in ("tokens", "frequent", "base", "score")]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([os.urandom(16) for _ in out], pa.binary()),
-                        pa.array(ids[at:end], pa.int64()),
-                        pa.array(held_out[at:end], pa.bool_()),
-                        *(pa.array([o[i] for o in out], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()), (4, pa.float64()))),
-                        pa.array([[{"word": w, "n": k} for w, k in t] for t in tail], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-                    ],
+                    [pa.array([os.urandom(16) for _ in range(at, end)], pa.binary()), pa.array(ids[at:end], pa.int64()), pa.array(held_out[at:end], pa.bool_()), *columns, pa.ListArray.from_arrays(pa.array(out["bounds"], pa.int32()), tail)],
                     ["key", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "tail"],
                 )
                 at = end
