@@ -164,8 +164,6 @@ def measurement(text: str) -> str | None:
         if article:
             if len(head) > 1 and (head[-2] == "of" or head[-2] == "half" or head[-2] == "quarter"):
                 head = head[:-1]
-            elif len(head) == 1:
-                head = ["one"]
             else:
                 continue
         value = number(head)
