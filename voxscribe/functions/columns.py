@@ -11,8 +11,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
-from voxscribe.functions import compare, temporal
+from voxscribe.functions import compare, gate, temporal
 from voxscribe.functions import realize as kinds
+from voxscribe.functions.decode import TOKEN
 from voxscribe.shipping import ship
 
 CANDIDATE = StructType([StructField("replacement", StringType(), False), StructField("kind_mask", IntegerType(), False)])
@@ -45,7 +46,7 @@ def _options(kind: str):
 @functools.cache
 def _candidates():
     arrow = pa.list_(pa.struct([pa.field("replacement", pa.string(), False), pa.field("kind_mask", pa.int32(), False)]))
-    return _once_each(lambda t: [{"replacement": r, "kind_mask": m} for r, m in kinds.candidates(t)], ArrayType(CANDIDATE), arrow)
+    return _once_each(lambda t: [{"replacement": r, "kind_mask": m} for r, m in (kinds.candidates(t, gate.kinds_of_span(TOKEN.findall(t), t)) if t else [])], ArrayType(CANDIDATE), arrow)
 
 
 @functools.cache
