@@ -155,7 +155,10 @@ def links(fps: DataFrame, radius: int = 2, leaf_rows: int = 64) -> DataFrame:
 
     while True:
         rows = level.select("fp", _below(masks, radius).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = [m | r for m in masks for r in _runs(~m & (1 << 64) - 1, radius + 1)]
+        below = [m | r for m in masks for r in _runs(~m & (1 << 64) - 1, radius + 1)]
+        masks = list(dict.fromkeys(below))
+        if len(masks) < len(below):  # one child of two nodes
+            rows = rows.distinct()
         free = min(BITS - m.bit_count() for m in masks)
         sizes = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1")
         sizes = written(sizes, "nodes")
