@@ -221,24 +221,27 @@ class Boosted:
         self.feature = np.zeros((self.trees, size), dtype=np.int64)
         self.cut = np.full((self.trees, size), self.bins, dtype=np.int64)
         self.value = np.zeros((self.trees, leaves))
-        keys = binned + np.arange(f)[None] * self.bins
-        for t in range(self.trees):
+        rng = np.random.default_rng(f)
+        for t in range(self.trees):  # each tree sees a third of the features and half of the rows
+            some, rows = np.sort(rng.choice(f, max(1, f // 3), replace=False)), np.sort(rng.choice(n, max(1, n // 2), replace=False))
+            m = len(some)
+            keys = binned[np.ix_(rows, some)] + np.arange(m)[None] * self.bins
             p = 1 / (1 + np.exp(-margin))
             g, h = y - p, p * (1 - p)
             node = np.zeros(n, dtype=np.int64)
             for d in range(self.depth):
                 width = 2**d
-                flat = (keys + node[:, None] * (f * self.bins)).ravel()
-                shape = (width, f, self.bins)
-                gs = np.bincount(flat, np.repeat(g, f), width * f * self.bins).reshape(shape).cumsum(2)
-                hs = np.bincount(flat, np.repeat(h, f), width * f * self.bins).reshape(shape).cumsum(2)
+                flat = (keys + node[rows, None] * (m * self.bins)).ravel()
+                shape = (width, m, self.bins)
+                gs = np.bincount(flat, np.repeat(g[rows], m), width * m * self.bins).reshape(shape).cumsum(2)
+                hs = np.bincount(flat, np.repeat(h[rows], m), width * m * self.bins).reshape(shape).cumsum(2)
                 G, H = gs[:, :, -1:], hs[:, :, -1:]
                 gain = gs**2 / (hs + self.l2) + (G - gs) ** 2 / (H - hs + self.l2) - G**2 / (H + self.l2)
                 gain[(hs < 1) | (H - hs < 1)] = 0
                 best = gain.reshape(width, -1).argmax(1)
                 worth = gain.reshape(width, -1).max(1) > 1e-6
                 at = width - 1 + np.arange(width)
-                self.feature[t, at] = np.where(worth, best // self.bins, 0)
+                self.feature[t, at] = np.where(worth, some[best // self.bins], 0)
                 self.cut[t, at] = np.where(worth, best % self.bins, self.bins)
                 node = 2 * node + (binned[np.arange(n), self.feature[t, width - 1 + node]] > self.cut[t, width - 1 + node])
             self.value[t] = self.rate * np.bincount(node, g, leaves) / (np.bincount(node, h, leaves) + self.l2)

@@ -147,3 +147,49 @@ def mixed_documents(docs: DataFrame, block_words: int = 16, **options) -> DataFr
     text = F.when(F.col("words").isNull() | (F.size("words") == F.col("size")), F.col("row.text")).otherwise(F.array_join("words", " "))
     new = {"text": text} | {"n_chars": F.length(text).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
     return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _apportion_sql(name: str, rows: str, parent: str, child: str, weight: str, house: str) -> str:
+    """Common table expressions with the same seats: every quotient between the brackets is ranked."""
+    of = f"PARTITION BY {parent}" if parent else ""
+    bracket = lambda sign: f"CASE WHEN _sum > 0 THEN floor({weight}::DOUBLE * greatest(0.0, {house} {sign} (_n / 2 + 1)) / _sum + 0.5) ELSE 0 END::BIGINT"
+    return f"""
+        {name}_a AS (SELECT *, sum({weight}::DOUBLE) OVER ({of}) AS _sum, count(*) OVER ({of}) AS _n FROM {rows}),
+        {name}_b AS (SELECT *, {bracket("-")} AS _low, {bracket("+")} AS _high FROM {name}_a),
+        {name}_c AS (SELECT *, {house} - sum(_low) OVER ({of}) AS _open FROM {name}_b),
+        {name}_d AS (SELECT *, unnest(CASE WHEN _high > _low THEN range(_low + 1, _high + 1) ELSE [NULL::BIGINT] END) AS _seat FROM {name}_c),
+        {name}_e AS (SELECT *, row_number() OVER ({of} ORDER BY {weight}::DOUBLE / (2 * _seat - 1) DESC NULLS LAST, {child}, _seat) AS _rank FROM {name}_d),
+        {name} AS (SELECT * EXCLUDE (_sum, _n, _low, _high, _open, _seat, _rank), first(_low) + count(*) FILTER (WHERE _seat IS NOT NULL AND _rank <= _open) AS quota FROM {name}_e GROUP BY ALL)"""
+
+
+def oracle_sql(block_words: int = 16, cell_docs: int = 256, seed: str = "mix") -> str:
+    """DuckDB SQL with the rows of mix(documents)."""
+    part = lambda at, parts: f"('0x' || substr(digest, {at}, 8))::BIGINT % {parts}"
+    chosen = lambda block: f"((({block}) + turn) * extra // blocks - turn * extra // blocks)"
+
+    def taken(word: str) -> str:
+        whole = f"(({word}) // {block_words})"
+        return f"(times * ({word}) + {block_words} * {chosen(whole)} + (({word}) % {block_words}) * ({chosen(f'{whole} + 1')} - {chosen(whole)}))"
+
+    return f"""
+        WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+        t0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs FROM s GROUP BY source),
+        t1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM t0),
+        t2 AS (SELECT *, CASE no % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, 2 * source_size::DOUBLE AS top, 1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE AS total FROM t1),
+        t3 AS (SELECT *, (total - (sum(top) OVER (ORDER BY top / weight, no ROWS UNBOUNDED PRECEDING) - top)) / sum(weight) OVER (ORDER BY top / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t2),
+        t4 AS (SELECT *, max(CASE WHEN level <= top / weight THEN level END) OVER () AS mu FROM t3),
+        t5 AS (SELECT source, no, source_size, coalesce(least(top, weight * mu), top) AS target, round(total / {block_words})::BIGINT AS house, ceil(docs / {float(cell_docs)}) AS c FROM t4),
+        goals AS (SELECT *, ceil(sqrt(c))::BIGINT AS shards, ceil(c / ceil(sqrt(c)))::BIGINT AS cells FROM t5),
+        {_apportion_sql("houses", "goals", "", "no", "target", "house")},
+        placed AS (SELECT s.*, no, source_size, target, {part(1, "shards")} AS shard, {part(9, "cells")} AS cell FROM s JOIN goals ON s.source IS NOT DISTINCT FROM goals.source),
+        words AS (SELECT no, shard, cell, sum(size)::BIGINT AS words FROM placed GROUP BY ALL),
+        shard_words AS (SELECT no, shard, sum(words)::BIGINT AS words, any_value(quota) AS house FROM words JOIN (SELECT no, quota FROM houses) USING (no) GROUP BY no, shard),
+        {_apportion_sql("shard_quotas", "shard_words", "no", "shard", "words", "house")},
+        cell_words AS (SELECT words.*, quota AS house FROM words JOIN (SELECT no, shard, quota FROM shard_quotas) USING (no, shard)),
+        {_apportion_sql("cell_quotas", "cell_words", "no, shard", "cell", "words", "house")},
+        q0 AS (SELECT no, shard, cell, quota, greatest(1, ceil(words / {float(block_words)}))::BIGINT AS blocks, md5('{seed}:' || no || ':' || shard || ':' || cell) AS digest FROM cell_quotas),
+        q1 AS (SELECT *, least(quota, 2 * blocks)::BIGINT AS q, {part(1, "blocks")} AS turn FROM q0),
+        q AS (SELECT no, shard, cell, blocks, turn, q // blocks AS times, q % blocks AS extra FROM q1),
+        p AS (SELECT placed.*, blocks, turn, times, extra, (sum(size) OVER (PARTITION BY no, shard, cell ORDER BY placed.digest, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start FROM placed JOIN q USING (no, shard, cell))
+        SELECT doc_id, size, source_size, target, ({taken("start + size")} - {taken("start")})::BIGINT AS taken FROM p
+    """

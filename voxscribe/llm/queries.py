@@ -71,6 +71,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.oracle_sql(),
+    "op2_mixing": mixing.oracle_sql(),
     "op6_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
