@@ -25,7 +25,7 @@ MOST_DIGITS = 1_000_000
 
 def lower(text: str) -> str:
     """Lower case for ASCII letters alone."""
-    return text.translate(ASCII_LOWER)
+    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
 
 
 def words_of(text: str) -> list[str]:
