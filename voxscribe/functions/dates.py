@@ -165,7 +165,7 @@ def _bare_year(words: list[str]) -> str | None:
     y = year(words) or groups_read_off(words)
     if y is None:
         n = spoken_integer(words)
-        y = str(n) if n else None
+        y = str(n) if n and n < 100_000 else None
     return y
 
 
