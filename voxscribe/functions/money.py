@@ -61,11 +61,21 @@ def _words(text: str) -> list[str]:
     return [w for w in (x.strip(",.;:!?") for x in HYPHENS.sub(" ", lower(text)).split()) if w]
 
 
+@functools.cache
+def _longest() -> dict[str, int]:
+    """First word → most words of a currency phrase that begins with it."""
+    out: dict[str, int] = {}
+    for phrase in names():
+        first, *rest = phrase.split()
+        out[first] = max(out.get(first, 0), 1 + len(rest))
+    return out
+
+
 def _find(words: list[str], minor: bool) -> tuple[int, int, str] | None:
     """Start, end and code of the longest currency phrase, the earliest of equals."""
     best = None
-    for i in range(len(words)):
-        for j in range(len(words), i, -1):
+    for i, w in enumerate(words):
+        for j in range(min(len(words), i + _longest().get(w, 0)), i, -1):
             hit = names().get(" ".join(words[i:j]))
             if hit and hit[1] == minor:
                 if best is None or j - i > best[1] - best[0]:
