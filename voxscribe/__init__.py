@@ -1,3 +1,17 @@
 """A PySpark engine that rewrites spoken-form English transcripts in written form, and evaluates the result."""
 
+from voxscribe.functions.baseline import normalize_sentence, verbalize
+from voxscribe.functions.compare import equivalent as representations_equivalent
+from voxscribe.functions.decode import Candidate, build_candidates, gold_graph, reachable
+from voxscribe.functions.realize import KINDS, candidates, realize, realize_options
+from voxscribe.functions.temporal import Context
+
 __version__ = "0.1.0"
+__all__ = ["KINDS", "Candidate", "Context", "build_candidates", "build_info", "candidates", "gold_graph", "normalize_sentence", "reachable", "realize", "realize_options", "representations_equivalent", "verbalize"]
+
+
+def build_info() -> dict[str, str]:
+    """Versions that a result depends on."""
+    import platform
+
+    return {"version": __version__, "python": platform.python_version(), "kinds": ",".join(KINDS)}
