@@ -1,4 +1,4 @@
-"""What the corpus operators share: the shared work folder, written intermediate tables, table reading, code shipping."""
+"""What the corpus operators share: the shared work folder, written intermediate tables, table reading, folds."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from voxscribe.shipping import ship
+
+__all__ = ["dropped", "fold", "id_text", "shared_dir", "ship", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,22 +49,6 @@ def dropped(df: DataFrame) -> None:
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a Spark application, so that workers can import it wherever they start."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="voxscribe-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    name = f"{folder}/voxscribe_code.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
-
-
 def id_text(column: str = "doc_id") -> Column:
     """An id as text; the empty text for a null id."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
