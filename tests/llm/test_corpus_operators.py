@@ -348,6 +348,24 @@ def test_filter_reads_counts_back():
     assert (f.levels(rng.integers(0, 2**64, 5000, dtype=np.uint64)) > 0).mean() < 0.02
 
 
+def test_no_bigram_leaves_the_filter_as_it_fills(spark):
+    """A corpus of more bigrams than one process holds gets more slabs, not a higher least count."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(" ".join(f"w{rng.randrange(400)}" for _ in range(54_000)),)] * 2, "text string").coalesce(1)
+    model = lm.fit(docs, filter_bits=1 << 20)
+    assert model["filter"].least == (1, 2) and model["filter"].total > lm.SLABS
+
+
+def test_some_slabs_answer_as_the_whole_filter():
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.integers(0, 2**64, 4000, dtype=np.uint64))
+    slabs = rng.integers(0, 256, (1024, 512), dtype=np.uint8) | rng.integers(0, 256, (1024, 512), dtype=np.uint8)
+    want = lm.Filter(slabs, 2.0, (1, 2), 12, 1024).levels(h)
+    for r in range(256):
+        own = h[lm.slab_of(h, 256) == r]
+        assert (lm.Filter(slabs[4 * r : 4 * r + 4], 2.0, (1, 2), 12, 1024).levels(own) == want[lm.slab_of(h, 256) == r]).all()
+
+
 def test_probabilities_add_up():
     """The mixture's probabilities over the whole vocabulary and one unknown word stay at most one."""
     words = [b"a", b"b", b"c", b""]

@@ -3,10 +3,11 @@ Language-model scores from a log-frequency Bloom filter of n-gram counts (Talbot
 
 Tokens are words with A-Z in lower case, then one end of text. A count becomes a level 1 + floor(steps * log2(count / least)); an
 n-gram is put into the filter once for each level up to its own, so its count is read back by probing level after level until
-one is missing. Unigrams and bigrams are counted over the whole training part. The filter has `filter_bits` bits at most, a
-bound that doesn't depend on the corpus, and is broadcast. n-grams enter it from the count at which all of them keep
-`bits_each` bits apiece (twice for bigrams, at least), which rises slowly with the corpus; what stays out shares the
-mass of the unseen. P(word | previous) mixes the bigram's relative frequency with the smoothed unigram; the weight
+one is missing. Unigrams and bigrams are counted over the whole training part; every unigram and every bigram seen twice enters
+the filter, whatever the corpus. The filter's bits follow the number of levels (`bits_each` apiece): it is a table of slabs of
+filter_bits / 256 bits at most, more slabs for more n-grams, and no process holds more than a few of them. Texts are
+scored a piece at a time: a piece asks for its distinct n-grams, the questions meet their slab in a join, and the levels come
+back to the piece. P(word | previous) mixes the bigram's relative frequency with the smoothed unigram; the weight
 depends on how many of the previous tokens continued a known bigram, so it is a probability given the past.
 
 Base scores are exact: counts of words above a bound on their number (at most `head_words`, chosen from the histogram of counts)
@@ -18,7 +19,6 @@ repeated rows are documents of their own, in training and in the result; without
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -30,14 +30,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import fold, ship, written
+from voxscribe.llm.common import dropped, fold, ship, written
 
-SLABS = 256
+SLABS = 256  # at least
+SLABS_HELD = 16  # slabs that a task probes at a time, at most
 PROBES = 4
 END = b""  # no word is empty, so this is the end of text
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
 #: Weight of the bigram by the number of known bigrams just before (0 to 3 or more).
 TRUST = np.array([0.02, 0.08, 0.3, 0.85])
+#: The least counts of the filter's n-grams, the same for every corpus.
+UNIGRAMS_FROM, BIGRAMS_FROM = 1, 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,15 +64,16 @@ def place(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
     return a & np.uint64(bits - 1)
 
 
-def slab_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(56)).astype(np.int64)
+def slab_of(h: np.ndarray, slabs: int = SLABS) -> np.ndarray:
+    """The slab of an n-gram among `slabs`, a power of two: the highest bits of its hash."""
+    return (h >> np.uint64(65 - slabs.bit_length())).astype(np.int64)
 
 
 class Filter:
-    """The whole filter: a row of bytes for each slab."""
+    """A filter, or some neighbouring slabs of one of `total` slabs (both powers of two): a row of bytes for each slab."""
 
-    def __init__(self, slabs: np.ndarray, steps: float, least: tuple[int, int], most_level: int):
-        self.slabs, self.steps, self.least, self.most_level = slabs, steps, least, most_level
+    def __init__(self, slabs: np.ndarray | None, steps: float, least: tuple[int, int], most_level: int, total: int = SLABS):
+        self.slabs, self.steps, self.least, self.most_level, self.total = slabs, steps, least, most_level, total
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram the highest level up to which every probe hits; 0 if it isn't there."""
@@ -83,7 +87,7 @@ class Filter:
             left = h[alive]
             for probe in range(PROBES):  # most n-grams that aren't there miss early
                 p = place(left, level, probe, bits)
-                byte = flat[slab_of(left) * self.slabs.shape[1] + (p >> np.uint64(3)).astype(np.int64)]
+                byte = flat[(slab_of(left, self.total) & (len(self.slabs) - 1)) * self.slabs.shape[1] + (p >> np.uint64(3)).astype(np.int64)]
                 hit = (byte >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 alive, left = alive[hit], left[hit]
             found[alive] = level
@@ -177,14 +181,11 @@ def _pair_counts(docs: DataFrame, flush: int = 1_500_000) -> DataFrame:
     return docs.select("text").mapInArrow(run, "range int, hs binary, ns binary").repartition("range").mapInArrow(merge, "h long, c long")
 
 
-def _least_count(counts: DataFrame, least: int, room: float, steps: float) -> tuple[int, int, int]:
-    """The least count from which on the n-grams' levels fit in `room`, with their levels' number and the highest level, all from a histogram of a row a power of two."""
+def _held(counts: DataFrame, least: int, steps: float) -> tuple[int, int]:
+    """How many levels the n-grams have at most, and the highest level, from a histogram of a row a power of two."""
     top = counts.where(F.col("c") >= least).groupBy(F.floor(F.log2(F.col("c") / least) + 1e-9).cast("int").alias("e")).agg(F.count("*").alias("n"))
     rows = [(r["e"], r["n"]) for r in top.collect()]
-    held = lambda e: int(sum(n * (1 + steps * (f - e + 1)) for f, n in rows if f >= e))
-    last = max((e for e, _ in rows), default=0)
-    start = min((e for e, _ in rows if held(e) <= room), default=last)
-    return least * 2**start, held(start), 1 + int(steps * (last - start + 1))
+    return int(sum(n * (1 + steps * (e + 1)) for e, n in rows)), 1 + int(steps * (max((e for e, _ in rows), default=0) + 1))
 
 
 def fit(train: DataFrame, filter_bits: int = 1 << 28, bits_each: int = 12, steps: float = 2.0, head_words: int = 250_000) -> dict:
@@ -193,20 +194,23 @@ def fit(train: DataFrame, filter_bits: int = 1 << 28, bits_each: int = 12, steps
     vocabulary = written(_word_counts(train), "vocabulary")
     pairs = written(_pair_counts(train), "bigrams")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    first, held, top1 = _least_count(vocabulary, 1, filter_bits / bits_each / 3, steps)
-    second, held2, top2 = _least_count(pairs, 2, filter_bits / bits_each / 1.5, steps)
-    bits = 1 << 12
-    while bits * SLABS < min(filter_bits, bits_each * (held + held2)):
-        bits *= 2
+    held, top1 = _held(vocabulary, UNIGRAMS_FROM, steps)
+    held2, top2 = _held(pairs, BIGRAMS_FROM, steps)
+    bits, slabs = 1 << 12, SLABS
+    while bits * slabs < bits_each * (held + held2):
+        if bits * SLABS < filter_bits:
+            bits *= 2
+        else:
+            slabs *= 2
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = np.array([xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(mixed(h).view(np.int64)), b.column(1)], ["h", "level"])
 
-    ones = vocabulary.where(F.col("c") >= first).select("word", _level(F.col("c"), first, steps).alias("level")).mapInArrow(hashed, "h long, level int")
-    twos = pairs.where(F.col("c") >= second).select("h", _level(F.col("c"), second, steps).alias("level"))
-    grams = ones.union(twos).withColumn("slab", F.shiftrightunsigned("h", 56).cast("int"))
+    ones = vocabulary.select("word", _level(F.col("c"), UNIGRAMS_FROM, steps).alias("level")).mapInArrow(hashed, "h long, level int")
+    twos = pairs.select("h", _level(F.col("c"), BIGRAMS_FROM, steps).alias("level"))
+    grams = ones.union(twos).withColumn("slab", F.shiftrightunsigned("h", 65 - slabs.bit_length()).cast("int"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         slab = np.zeros(bits, dtype=bool)
@@ -216,13 +220,11 @@ def fit(train: DataFrame, filter_bits: int = 1 << 28, bits_each: int = 12, steps
                 slab[place(h[level >= j], j, probe, bits).astype(np.int64)] = True
         return pd.DataFrame({"slab": [group["slab"].iloc[0]], "bytes": [np.packbits(slab, bitorder="little").tobytes()]})
 
-    filled = grams.groupBy("slab").applyInPandas(fill, "slab int, bytes binary").toArrow()  # filter_bits at most
-    slabs = np.zeros((SLABS, bits // 8), dtype=np.uint8)
-    for s, packed in zip(filled["slab"].to_pylist(), filled["bytes"].to_pylist()):
-        slabs[s] = np.frombuffer(packed, dtype=np.uint8)
+    filled = written(grams.groupBy("slab").applyInPandas(fill, "slab int, bytes binary"), "filter")
+    dropped(pairs)
     c = F.col("c")
-    seen = F.lit(float(first)) * F.pow(F.lit(2.0), (_level(c, first, steps) - 1) / F.lit(steps))
-    mass = vocabulary.agg(F.sum(F.when(c >= first, seen)).alias("seen"), F.sum(F.when(c < first, c)).alias("rare"), F.sum((c < first).cast("long")).alias("rare_words")).first()
+    seen = F.lit(float(UNIGRAMS_FROM)) * F.pow(F.lit(2.0), (_level(c, UNIGRAMS_FROM, steps) - 1) / F.lit(steps))
+    mass = vocabulary.agg(F.sum(seen).alias("seen")).first()
     sizes = {r["e"]: r["n"] for r in vocabulary.groupBy(F.floor(F.log2(c) * 4 + 1e-9).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()}
     edge, room = max(sizes, default=0) + 1, head_words
     while edge > 0 and sizes.get(edge - 1, 0) <= room:
@@ -235,41 +237,31 @@ def fit(train: DataFrame, filter_bits: int = 1 << 28, bits_each: int = 12, steps
         "n": int(total["n"]),
         "v": int(total["v"]),
         "head": dict(zip(head["word"].to_pylist(), head["c"].to_pylist())),
-        "filter": Filter(slabs, steps, (first, second), max(top1, top2)),
-        "mass": (float(mass["seen"] or 0), float(mass["rare"] or 0), int(mass["rare_words"] or 0)),
+        "filter": Filter(None, steps, (UNIGRAMS_FROM, BIGRAMS_FROM), max(top1, top2), slabs),
+        "slabs": filled,
+        "slab_bytes": bits // 8,
+        "mass": (float(mass["seen"] or 0), 0.0, 0),
     }
 
 
-class Scorer:
-    """Scores texts with a fitted model; keeps what it knows of words for the next texts."""
+class Reader:
+    """Texts as hashes of their tokens; keeps what it knows of words for the next texts."""
 
-    def __init__(self, head: dict, filter: Filter, n: int, v: int, mass: tuple, add: float = 0.1):
-        self.head, self.filter = head, filter
-        self.bottom = n + add * (v + 1)
-        self.add = add
-        seen, rare, rare_words = mass
-        self.total = seen + rare + add * (v + 1)
-        self.unseen = (rare + add * (rare_words + 1)) / (rare_words + 1)
+    def __init__(self):
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.word: list[bytes] = []
-        self.hash, self.uni, self.prior, self.base = (np.empty(0, dtype=t) for t in (np.uint64, float, float, float))
+        self.hash = np.empty(0, dtype=np.uint64)
 
     def _learn(self, new: list[bytes]) -> None:
-        h = np.array([xxhash.xxh64_intdigest(w) for w in new], dtype=np.uint64)
-        count = self.filter.count(self.filter.levels(mixed(h)), 1)
-        exact = np.array([self.head.get(w, -1) for w in new], dtype=float)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         self.word += new
-        self.hash = np.concatenate([self.hash, h])
-        self.prior = np.concatenate([self.prior, count])
-        self.uni = np.concatenate([self.uni, np.where(count > 0, count + self.add, self.unseen) / self.total])
-        self.base = np.concatenate([self.base, np.where(exact >= 0, np.log10((np.maximum(exact, 0) + self.add) / self.bottom), np.nan)])
+        self.hash = np.concatenate([self.hash, np.array([xxhash.xxh64_intdigest(w) for w in new], dtype=np.uint64)])
 
-    def __call__(self, texts: list[str | None]) -> dict[str, np.ndarray | list]:
-        """For each text: tokens, tokens known as frequent words, their part of the base score, the model's log10 probability; and the other words, text after text, with their counts and the texts' bounds."""
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """For each text its number of tokens; for each token its word's place, hash, and the bigram's hash; whether a text starts there; the words' places without repeats."""
         docs = [words_of(t) for t in texts]
         for d in docs:
             d.append(END)
@@ -282,16 +274,61 @@ class Scorer:
             self._learn(list({flat[i] for i in missing}))
             ids[missing] = [self.place[flat[i]] for i in missing]
         lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
         h = self.hash[ids]
         first = np.zeros(len(ids), dtype=bool)
-        first[starts] = True
+        first[np.cumsum(lengths) - lengths] = True
         before = np.concatenate([[BEGIN], h[:-1]]) if len(h) else h
         before[first] = BEGIN
-        pairs = self.filter.count(self.filter.levels(pair_hash(before, h)), 2)
+        there = np.zeros(len(self.word), dtype=bool)
+        there[ids] = True
+        return lengths, ids, h, pair_hash(before, h), first, np.flatnonzero(there)
+
+    def wanted(self, pair: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The distinct n-grams of texts that were read, sorted."""
+        return np.unique(np.concatenate([mixed(self.hash[words]), pair]))
+
+
+class Scorer(Reader):
+    """Scores texts with a fitted model."""
+
+    def __init__(self, head: dict, filter: Filter, n: int, v: int, mass: tuple, add: float = 0.1):
+        self.head, self.filter = head, filter
+        self.bottom = n + add * (v + 1)
+        self.add = add
+        seen, rare, rare_words = mass
+        self.total = seen + rare + add * (v + 1)
+        self.unseen = (rare + add * (rare_words + 1)) / (rare_words + 1)
+        super().__init__()
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.base = np.empty(0, dtype=float)
+
+    def _learn(self, new: list[bytes]) -> None:
+        super()._learn(new)
+        exact = np.array([self.head.get(w, -1) for w in new], dtype=float)
+        self.base = np.concatenate([self.base, np.where(exact >= 0, np.log10((np.maximum(exact, 0) + self.add) / self.bottom), np.nan)])
+
+    def __call__(self, texts: list[str | None], answers: np.ndarray | None = None) -> dict[str, np.ndarray | list]:
+        """
+        For each text: tokens, tokens known as frequent words, their part of the base score, the model's log10 probability; and the other words, text after text, with their counts and the texts' bounds.
+        answers: the levels of wanted(), for a filter that isn't here.
+        """
+        lengths, ids, h, pair, first, words = self.read(texts)
+        docs, ends = texts, np.cumsum(lengths)
+        starts = ends - lengths
+        levels = self.filter.levels
+        if answers is not None:
+            asked = self.wanted(pair, words)
+            if len(asked) != len(answers):
+                raise ValueError(f"{len(answers)} answers for {len(asked)} n-grams")
+            levels = lambda x: answers[np.searchsorted(asked, x)].astype(np.int64)
+        count = self.filter.count(levels(mixed(self.hash[words])), 1)
+        prior, uni = np.zeros(len(self.word)), np.zeros(len(self.word))
+        prior[words], uni[words] = count, np.where(count > 0, count + self.add, self.unseen) / self.total
+        pairs = self.filter.count(levels(pair), 2)
         docs_seen = max(float(self.head.get(END, 0)), 1.0)
-        context = np.concatenate([[0.0], self.prior[ids[:-1]]]) if len(h) else np.empty(0)
+        context = np.concatenate([[0.0], prior[ids[:-1]]]) if len(h) else np.empty(0)
         context[first] = docs_seen
         known = pairs > 0
         run = np.zeros(len(ids), dtype=np.int64)
@@ -307,7 +344,7 @@ class Scorer:
         trust = TRUST[run] * (context > 0)
         top = 2.0 ** (1 / self.filter.steps)  # a context's count is below the next level's
         bigram = np.where(known & (context > 0), np.minimum(1.0, pairs / np.maximum(np.maximum(context * top, pairs), 1e-9)), 0.0)
-        logs = np.log10(trust * bigram + (1 - trust) * self.uni[ids])
+        logs = np.log10(trust * bigram + (1 - trust) * uni[ids])
         base = self.base[ids]
         rare = np.isnan(base)
         owner = np.repeat(np.arange(len(docs)), lengths)
@@ -323,35 +360,109 @@ class Scorer:
         }
 
 
-def score(docs: DataFrame, folds: int = 10, held: int = 0, **options) -> DataFrame:
+def _asked(rows: DataFrame, ranges: int, chars: int) -> DataFrame:
+    """chunk, at (the first uid of a piece of a chunk), range and hashes: the distinct n-grams of each piece by ranges of hashes. A piece is a run of neighbouring rows of about `chars` characters."""
+    edges = np.arange(ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, texts, chunk, at, last, size = Reader(), [], None, None, None, 0
+
+        def out():
+            _, _, _, pair, _, words = reader.read(texts)
+            h = reader.wanted(pair, words)
+            cuts = [*np.searchsorted(h, edges).tolist(), len(h)]
+            some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+            data = [h[cuts[k] : cuts[k + 1]].tobytes() for k in some]
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([at] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["chunk", "at", "range", "data"])
+
+        for b in batches:
+            for c, uid, text in zip(*(b.column(k) for k in ("chunk", "uid", "text"))):
+                c, uid, text = c.as_py(), uid.as_py(), text.as_py()
+                if texts and (c != chunk or uid != last + 1 or size + len(text or "") > chars):
+                    yield out()
+                    texts, size = [], 0
+                if not texts:
+                    chunk, at = c, uid
+                texts.append(text)
+                last, size = uid, size + len(text or "")
+        if texts:
+            yield out()
+
+    return rows.select("chunk", "uid", "text").mapInArrow(run, "chunk long, at long, range int, data binary")
+
+
+def _answered(asked: DataFrame, model: dict, ranges: int) -> DataFrame:
+    """The questions with the level of each hash, a byte each, in place of the hashes. Slabs come before the questions of their range, so a task holds the slabs of one range."""
+    f, width = model["filter"], model["slab_bytes"]
+    total, steps, least, most, held = f.total, f.steps, f.least, f.most_level, f.total // ranges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, some = None, None
+        for b in batches:
+            kept = ([], [], [], [])
+            for chunk, at, r, slab, data in zip(*(c.to_pylist() for c in b.columns)):
+                if r != now:
+                    now, some = r, Filter(np.zeros((held, width), dtype=np.uint8), steps, least, most, total)
+                if at is None:
+                    some.slabs[slab & (held - 1)] = np.frombuffer(data, dtype=np.uint8)
+                else:
+                    levels = some.levels(np.frombuffer(data, dtype=np.uint64)).astype(np.uint8).tobytes()
+                    for column, x in zip(kept, (chunk, at, r, levels)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(kept, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["chunk", "at", "range", "data"])
+
+    none = F.lit(None).cast("long")
+    slabs = model["slabs"].select(none.alias("chunk"), none.alias("at"), F.floor(F.col("slab") / held).cast("int").alias("range"), "slab", F.col("bytes").alias("data"))
+    both = slabs.union(asked.select("chunk", "at", "range", F.lit(None).cast("int").alias("slab"), "data"))
+    both = both.repartition("range").sortWithinPartitions("range", F.col("at").asc_nulls_first())
+    return both.mapInArrow(run, "chunk long, at long, range int, data binary")
+
+
+def score(docs: DataFrame, folds: int = 10, held: int = 0, chunk_rows: int = 2048, piece_chars: int = 4_000_000, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text); learns from the rows whose fold isn't `held`."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text", (fold("doc_id", folds) == held).alias("held_out"))
+    uid = F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long"), "text", (fold("doc_id", folds) == held).alias("held_out"), uid.alias("uid"))
+    rows = written(rows, "texts").withColumn("chunk", F.floor(F.col("uid") / chunk_rows))  # fixes the numbers
     model = fit(rows.where(~F.col("held_out")), **options)
     n, v, mass = model["n"], model["v"], model["mass"]
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffles that counted
     sent = spark.sparkContext.broadcast((model["head"], model["filter"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*sent.value, n, v, mass)
+        levels, uids, ids, held_out, texts = [], [], [], [], []
+
+        def out():
+            got = scorer(texts, np.frombuffer(b"".join(levels), dtype=np.uint8))
+            tail = pa.StructArray.from_arrays([pa.array(got["words"], pa.binary()), pa.array(got["times"], pa.int64())], ["word", "n"])
+            columns = [pa.array(got[name]) for name in ("tokens", "frequent", "base", "score")]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), *columns, pa.ListArray.from_arrays(pa.array(got["bounds"], pa.int32()), tail)],
+                ["key", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "tail"],
+            )
+
         for b in batches:
-            ids, texts, held_out = (c.to_pylist() for c in b.columns)
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") < 2_000_000):
-                    size += len(texts[end] or "")
-                    end += 1
-                out = scorer(texts[at:end])
-                tail = pa.StructArray.from_arrays([pa.array(out["words"], pa.binary()), pa.array(out["times"], pa.int64())], ["word", "n"])
-                columns = [pa.array(out[name]) for name in ("tokens", "frequent", "base", "score")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([os.urandom(16) for _ in range(at, end)], pa.binary()), pa.array(ids[at:end], pa.int64()), pa.array(held_out[at:end], pa.bool_()), *columns, pa.ListArray.from_arrays(pa.array(out["bounds"], pa.int32()), tail)],
-                    ["key", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "tail"],
-                )
-                at = end
-
-    schema = "key binary, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, tail array<struct<word: binary, n: long>>"
-    scored = written(rows.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scores")  # also fixes the keys
+            for data, *row in zip(*(b.column(k).to_pylist() for k in ("data", "at", "doc_id", "held_out", "text"))):
+                if data is None:
+                    for column, x in zip((uids, ids, held_out, texts), row):
+                        column.append(x)
+                    continue
+                if texts:
+                    yield out()
+                    levels, uids, ids, held_out, texts = [], [], [], [], []
+                levels.append(data)
+        if texts:
+            yield out()
+
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, tail array<struct<word: binary, n: long>>"
+    ranges = max(SLABS, model["filter"].total // SLABS_HELD)
+    answers = _answered(_asked(rows, ranges, piece_chars), model, ranges)
+    late = F.lit(2**31 - 1)  # a piece's texts come after its answers
+    pieces = answers.select("chunk", "at", "range", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+    pieces = pieces.union(rows.select("chunk", F.col("uid").alias("at"), late.alias("range"), F.lit(None).cast("binary").alias("data"), "doc_id", "held_out", "text"))
+    pieces = pieces.repartition("chunk").sortWithinPartitions("chunk", "at", "range")
+    scored = written(pieces.mapInArrow(run, schema), "scores")
     tail = scored.select("key", F.inline("tail")).join(model["vocabulary"], "word", "left")
     logs = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(n + 0.1 * (v + 1)))
     sums = tail.groupBy("key").agg(F.sum(F.col("n") * logs).alias("base_tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_tail"))
