@@ -42,6 +42,17 @@ def test_relational_and_fused_candidates_agree(spark):
     assert got == sorted((i, *c) for i, t in enumerate(TEXTS) if t for c in decode.build_candidates(t))
 
 
+def test_long_texts_have_long_spans(spark):
+    url = "h t t p s colon slash slash w w w dot " + " ".join("voxscribeexample") + " dot " + " ".join("org") + " slash a b c"
+    long = ["then " * 40 + url, "then " * 40 + " ".join(["one two three four"] * 9)]
+    assert all(len(decode.tokens(t)) > 64 for t in long)
+    got = [candidates.normalize_text(t)["text"] for t in long]
+    assert got == ["then " * 40 + "https://www.voxscribeexample.org/abc", "then " * 40 + "1234" * 9]
+    df = spark.createDataFrame(list(enumerate(long)), "id int, text string")
+    spans = {(r["id"], r["token_start"], r["token_end"]) for r in candidates.spans(df, "id").collect()}
+    assert (0, 40, 40 + len(url.split())) in spans and (1, 40, 76) in spans
+
+
 def test_normalized_rows(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
     got = {r["id"]: r for r in candidates.normalize(df).collect()}
