@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -65,6 +66,19 @@ def test_license_texts_in_other_dress(spark):
     assert [r["license"] for r in got] == ["MIT", None]
 
 
+def test_whole_texts_under_usual_headings(spark):
+    mit, bsd = licenses._MIT, licenses._BSD_HEAD + "\n" + licenses._BSD_TAIL
+    texts = ["The MIT License (MIT)\n\nCopyright The Some Project Authors\n\n" + mit, "BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd]
+    want = ["MIT", "BSD-2-Clause"]
+    for name, license in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        path = Path("/usr/share/common-licenses") / name
+        if path.exists():
+            texts.append(path.read_text())
+            want.append(license)
+    out = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license"] for r in out] == want
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 

@@ -67,16 +67,39 @@ _MIT = """Permission is hereby granted, free of charge, to any person obtaining
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 TEXTS = {
-    "MIT": [_MIT, "MIT License\n" + _MIT, "The MIT License\n" + _MIT],
+    "MIT": [_MIT],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _AS_IS],
     "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _AS_IS],
     "BSD-2-Clause": [_BSD_HEAD + "\n" + _BSD_TAIL],
     "BSD-3-Clause": [_BSD_HEAD + "\n" + _BSD_NAME + "\n" + _BSD_TAIL],
 }
 
+# Usual headings of these texts; each may also be followed by a line "All rights reserved.".
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License", "The BSD License"],
+}
+TEXTS = {k: [f"{h}\n{r}\n{t}" if h or r else t for t in v for h in ("", *HEADINGS[k]) for r in ("", "All rights reserved.")] for k, v in TEXTS.items()}
+
+# digest_of long licence texts, whole and up to the end of their terms.
+DIGESTS = {
+    "Apache-2.0": ["2f973fce6821968caa77d834b80cee7c", "a90697331248535821cbca3716b02146", "d03e86ac7a1ff3f8d928e1d6027bfd17"],
+    "MPL-2.0": ["7d4b8b0889da3c01eff3fe431102e6d6"],
+    "GPL-2.0": ["5e39ace6e62f5a7fe9c17b4da986ad8c", "68380dbeadb093b94ecf563db7312db7", "f2c06efe640b4a281cbe5337cdde80ab"],
+    "GPL-3.0": ["17e434cc6db7003444b088cb4cc81e91", "444f95dc767ede978b60cfb20fbd0bca", "5eaa767cc0a56c87c3852144458a3bf1"],
+    "LGPL-2.1": ["3054b3781b1af43f906dc753acad15ee", "eaf6afb73fc860a002bfbccbe6f07ce7", "f998bc436710cfece156aaa84fd26dd4"],
+    "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
+    "CC0-1.0": ["93a180096f6cfcf2c0dd24f75c2eec48"],
+    "Unlicense": ["0ddb544fc94f1ac376b1b27618cf995a"],
+    "CC-BY-SA-4.0": ["91ba7f2b9f9292fa546a3e86152e8c97"],
+}
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
-COPYRIGHT = r"^ ?(copyright|c|©) ?(c|©|[0-9]{4}|by)( [^\n]*)?$"
+COPYRIGHT = r"^ ?(copyright|c|©) ?(c|©|[0-9]{4}|by)( [^\n]*)?$|^ ?copyright the( [^ \n]+){1,6} (authors|contributors|developers) ?$"
 
 
 def _lines(text: str) -> str:
@@ -100,6 +123,7 @@ def known() -> dict[str, str]:
             names[f"CC-{code}-{version}"] = [f"CC {code} {version}", f"CC-{code}-{version}", f"Creative Commons {long} {version} International License", f"Creative Commons {long} {version} License", f"Creative Commons {long} {version}"]
     out = {digest_of(n.format(name)): k for k, v in names.items() for name in [k, *v] for n in NOTICES}
     out[digest_of("All rights reserved.")] = "all-rights-reserved"
+    out |= {d: k for k, v in DIGESTS.items() for d in v}
     return out | {digest_of(t): k for k, v in TEXTS.items() for t in v}
 
 
