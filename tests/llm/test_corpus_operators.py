@@ -269,6 +269,13 @@ def test_cover_tree_covers():
     assert sorted(tree.order) == list(range(3000)) and len(tree.span) > 10
 
 
+def test_null_and_repeated_ids_lose_no_group(spark):
+    texts = [sentence(random.Random(i), 60) for i in range(6)]
+    docs = spark.createDataFrame([*((None, t) for t in texts[:3]), *((7, t) for t in texts[3:]), (3, texts[0]), (None, texts[1])], "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()), key=key)
+    assert kept == sorted([(3, texts[0]), (None, texts[1]), (None, texts[2]), *((7, t) for t in texts[3:])], key=key)
+
+
 # --- packing --------------------------------------------------------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import dropped, id_text, ship, written
+from voxscribe.llm.common import dropped, ship, written
 from voxscribe.llm.components import components
 
 BITS = 64
@@ -185,9 +185,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id is the least of its group; repeats of such a row go too. Rows without an id stand for one document with the empty id text."""
-    groups = near_duplicates(docs, **options)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_text().alias("kept_id")).distinct()
-    kept = written(kept, "kept")
-    key = "voxscribe_id"
-    return docs.withColumn(key, id_text()).join(kept.withColumnRenamed("kept_id", key), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """One row of docs for each group of near-duplicates: the one of the least id; any of those where ids repeat or are all null."""
+    row = "voxscribe_row"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # fixes the numbers
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(row)))
+    kept = written(groups.join(ids, row).groupBy("component_id").agg(first.alias("first")).select(F.col("first")[row].alias(row)), "kept")
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
