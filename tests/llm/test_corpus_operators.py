@@ -338,63 +338,97 @@ def test_best_pattern_is_best():
 # --- language model -------------------------------------------------------------------------------------------------
 
 
+def tokens_of(text):
+    return (text or "").encode().lower().split() + [lm.END]
+
+
+def plain_model(texts):
+    """Counts of words and bigrams; a text's first token follows an end."""
+    ones, twos = Counter(), Counter()
+    for ts in map(tokens_of, texts):
+        ones.update(ts)
+        twos.update(zip([lm.END, *ts], ts))
+    return ones, twos
+
+
+def plain_logs(text, ones, twos):
+    """log10 of each token's probability."""
+    read = lambda c: 2.0 ** (int(2 * np.log2(c) + 1e-9) / 2) if c else 0.0
+    total, known, before, out = sum(map(read, ones.values())) + 0.1 * (len(ones) + 1), 0, lm.END, []
+    for t in tokens_of(text):
+        pair, context = read(twos[before, t]), read(ones[before])
+        trust = lm.TRUST[min(known, 3)] if context else 0.0
+        bigram = min(1.0, pair / max(context * 2**0.5, pair)) if pair and context else 0.0
+        out.append(log10(trust * bigram + (1 - trust) * (read(ones[t]) + 0.1) / total))
+        known, before = known + 1 if pair else 0, t
+    return out
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+
+
 def test_base_scores_match_plain_counts(docs, empty):
     data = rows()
-    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
-    tokens = [(r[1] or "").encode().lower().split() + [b""] for r in data]
-    counts = Counter(t for r, ts in zip(data, tokens) if not held(r[0]) for t in ts)
+    counts, pairs = plain_model([r[1] for r in data if not held_out(r[0])])
     n, v = sum(counts.values()), len(counts)
-    want = sorted((r[0] is None, r[0] or 0, held(r[0]), len(ts), sum(counts[t] > 0 for t in ts), n, round(sum(log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), 6)) for r, ts in zip(data, tokens))
-    for head_words in (250_000, 5):  # also with nearly all words joined
-        out = lm.score(docs, head_words=head_words, filter_bits=1 << 20).collect()
+    want = sorted((r[0] is None, r[0] or 0, held_out(r[0]), len(ts), sum(counts[t] > 0 for t in ts), n, round(sum(log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), 6)) for r in data for ts in [tokens_of(r[1])])
+    model = {(r[0], r[1]): sum(plain_logs(r[1], counts, pairs)) for r in data}
+    for chars in (4_000_000, 300):  # also with a piece for nearly every text
+        out = lm.score(docs, piece_chars=chars).collect()
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
-        assert all(r["score"] < 0 for r in out)
-        assert sum(r["score"] for r in out if not r["held_out"]) > sum(r["base_score"] for r in out if not r["held_out"])
+        off = [min(abs(r["score"] - x) for (i, _), x in model.items() if i == r["doc_id"]) for r in out]
+        assert all(x < 0.5 + 0.03 * r["n_tokens"] for x, r in zip(off, out))  # an n-gram in a hundred is read a level too high
     assert lm.score(empty).count() == 0
 
 
+def test_scores_match_a_plain_model():
+    """Where the filter answers without error, scores are those of a loop over tokens with dictionaries."""
+    texts = [r[1] for r in rows()][:24]
+    ones, twos = plain_model(texts[:15])
+    reader = lm.Reader()
+    reader.read(texts)
+    name = {i: w for w, i in reader.place.items()}
+    level = lambda c: lm.level_of(np.array(c)).astype(np.uint8)
+    exact = [ones[name[i]] for i in reader.words.tolist()]
+    befores = [reader.place[lm.END], *reader.ids[:-1].tolist()]
+    pairs = dict(zip(reader.pair.tolist(), (twos[name[a], name[b]] for a, b in zip(befores, reader.ids.tolist()))))
+    mass = lm.count_of(lm.level_of(np.array(list(ones.values())))).sum()
+    scorer = lm.Scorer(sum(ones.values()), len(ones), mass)
+    got = scorer(texts, level(exact), level([pairs[h] for h in sorted(pairs)]), np.array(exact))
+    assert np.allclose(got["score"], [sum(plain_logs(t, ones, twos)) for t in texts])
+    assert got["n_tokens"].tolist() == [len(tokens_of(t)) for t in texts]
+
+
+def test_rows_without_training_have_probability_one(spark):
+    out = lm.score(spark.createDataFrame([(None, "a b", "x"), (None, None, "y")], "doc_id long, text string, words string")).collect()
+    assert all(r["score"] == r["base_score"] == 0 and r["train_tokens"] == 0 for r in out) and len(out) == 2
+
+
 def test_filter_reads_counts_back():
     rng = np.random.default_rng(0)
-    h = rng.integers(0, 2**64, 5000, dtype=np.uint64)
-    level = rng.integers(1, 12, 5000)
-    bits = 1 << 12
-    slabs = np.zeros((lm.SLABS, bits), dtype=bool)
-    for j in range(1, 12):
-        for probe in range(lm.PROBES):
-            at = h[level >= j]
-            slabs[lm.slab_of(at), lm.place(at, j, probe, bits).astype(int)] = True
-    f = lm.Filter(np.packbits(slabs, axis=1, bitorder="little"), 2.0, (1, 2), 12)
+    h = rng.integers(0, 2**56, 5000, dtype=np.uint64) | np.uint64(3 << 56)  # a slab's n-grams share their highest bits
+    count = rng.integers(1, 2000, 5000)
+    level = lm.level_of(count)
+    f = lm.Filter(h, level)
     got = f.levels(h)
     assert (got >= level).all() and (got == level).mean() > 0.98
+    assert (lm.count_of(level) <= count).all() and (lm.count_of(level + 1) > count - 1e-6).all()
     assert (f.levels(rng.integers(0, 2**64, 5000, dtype=np.uint64)) > 0).mean() < 0.02
+    assert lm.Filter(h[:0], level[:0]).levels(h).max() == 0
 
 
-def test_no_bigram_leaves_the_filter_as_it_fills(spark):
-    """A corpus of more bigrams than one process holds gets more slabs, not a higher least count."""
-    rng = random.Random(8)
-    docs = spark.createDataFrame([(" ".join(f"w{rng.randrange(400)}" for _ in range(54_000)),)] * 2, "text string").coalesce(1)
-    model = lm.fit(docs, filter_bits=1 << 20)
-    assert model["filter"].least == (1, 2) and model["filter"].total > lm.SLABS
-
-
-def test_some_slabs_answer_as_the_whole_filter():
-    rng = np.random.default_rng(1)
-    h = np.sort(rng.integers(0, 2**64, 4000, dtype=np.uint64))
-    slabs = rng.integers(0, 256, (1024, 512), dtype=np.uint8) | rng.integers(0, 256, (1024, 512), dtype=np.uint8)
-    want = lm.Filter(slabs, 2.0, (1, 2), 12, 1024).levels(h)
-    for r in range(256):
-        own = h[lm.slab_of(h, 256) == r]
-        assert (lm.Filter(slabs[4 * r : 4 * r + 4], 2.0, (1, 2), 12, 1024).levels(own) == want[lm.slab_of(h, 256) == r]).all()
+def test_words_of_one_hash_are_counted_apart():
+    keys, sums, place = lm._summed([np.array([5, 7, 5, 5], dtype=np.uint64), np.array([1, 1, 2, 1], dtype=np.uint64)], np.array([10, 20, 30, 40]))
+    assert keys.tolist() == [5, 5, 7] and sums.tolist() == [50, 30, 20] and place.tolist() == [0, 2, 1, 0]
 
 
 def test_probabilities_add_up():
-    """The mixture's probabilities over the whole vocabulary and one unknown word stay at most one."""
-    words = [b"a", b"b", b"c", b""]
-    counts = np.array([50, 30, 15, 5.0])
-    f = lm.Filter(np.zeros((lm.SLABS, 512), dtype=np.uint8), 2.0, (1, 2), 12)
-    scorer = lm.Scorer(dict(zip(words, counts)), f, 100, 4, (0.0, 100.0, 4))
-    total = sum(10 ** scorer([w])["score"][0] / 10 ** scorer([""])["score"][0] for w in ("a", "b", "c"))
-    assert total <= 1.0
+    """The probabilities over the vocabulary and one unknown word stay at most one after any context."""
+    ones, twos = plain_model(["a b c a b", "a a b", "c"])
+    for prefix in ("", "a", "a b", "b c a", "zz"):
+        after = [plain_logs(f"{prefix} {w}", ones, twos)[-2] for w in ("a", "b", "c", "zz")]
+        assert sum(10**x for x in (*after, plain_logs(prefix, ones, twos)[-1])) <= 1.0 + 1e-9
 
 
 # --- classifiers ----------------------------------------------------------------------------------------------------

@@ -3,17 +3,45 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxscribe.shipping import ship
+from voxscribe import shipping
 
-__all__ = ["dropped", "fold", "id_text", "shared_dir", "ship", "table", "written"]
+__all__ = ["dropped", "fold", "frugal", "id_text", "shared_dir", "ship", "table", "written"]
+BATCH_BYTES = 4 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, and bounds what goes to a Python worker at once by its bytes, unless the session has another bound than Spark's 64 MB."""
+    shipping.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function over batches that gives freed memory back to the system when it ends; workers stay for later tasks."""
+
+    @functools.wraps(run)
+    def thrifty(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return thrifty
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """
 Language-model scores from a log-frequency Bloom filter of n-gram counts (Talbot and Osborne 2007), and exact unigram base scores.
 
-Tokens are words with A-Z in lower case, then one end of text. A count becomes a level 1 + floor(steps * log2(count / least)); an
+Tokens are words with A-Z in lower case, then one end of text. A count becomes a level 1 + floor(steps * log2(count)); an
 n-gram is put into the filter once for each level up to its own, so its count is read back by probing level after level until
-one is missing. Unigrams and bigrams are counted over the whole training part; every unigram and every bigram seen twice enters
-the filter, whatever the corpus. The filter's bits follow the number of levels (`bits_each` apiece): it is a table of slabs of
-filter_bits / 256 bits at most, more slabs for more n-grams, and no process holds more than a few of them. Texts are
-scored a piece at a time: a piece asks for its distinct n-grams, the questions meet their slab in a join, and the levels come
-back to the piece. P(word | previous) mixes the bigram's relative frequency with the smoothed unigram; the weight
-depends on how many of the previous tokens continued a known bigram, so it is a probability given the past.
+one is missing. Every unigram and bigram of the training part enters the filter, however rare. The filter grows with the
+corpus, so it is no broadcast: it is cut into slabs by the highest bits of the n-grams' hashes, and n-grams travel to their slab.
 
-Base scores are exact: counts of words above a bound on their number (at most `head_words`, chosen from the histogram of counts)
-are broadcast, the others are joined by word.
+A task reads its texts a piece at a time and sends the piece's distinct n-grams, with their training counts, once: they are the
+piece's share of the counts and its questions as well. Where the n-grams of a slab meet, they are summed, the slab is filled and
+every piece gets back the levels that the probes find, a byte each, and the exact counts of its words. Then the pieces are
+read again beside their answers and scored. P(word | previous) mixes the bigram's relative frequency with the smoothed unigram; the
+weight depends on how many of the previous tokens continued a known bigram, so it is a probability given the past.
+
+Base scores come from exact counts of words, known by 128 bits of digest.
 
 Defined cases: null text is empty, so its one token is the end; a null id counts as the empty text in the fold, hence as held out;
 repeated rows are documents of their own, in training and in the result; without training rows every probability is one; an empty table gives an empty result.
@@ -19,32 +20,24 @@ repeated rows are documents of their own, in training and in the result; without
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import dropped, fold, ship, written
+from voxscribe.llm.common import fold, frugal, ship, written
 
-SLABS = 256  # at least
-SLABS_HELD = 16  # slabs that a task probes at a time, at most
 PROBES = 4
-END = b""  # no word is empty, so this is the end of text
-BEGIN = np.uint64(0x9E3779B97F4A7C15)
+STEPS = 2.0
+BITS_EACH = 12  # bits of a slab for each level put into it
+END = b"\xff"  # no UTF-8 text holds this byte, so it is the end of text
 #: Weight of the bigram by the number of known bigrams just before (0 to 3 or more).
-TRUST = np.array([0.02, 0.08, 0.3, 0.85])
-#: The least counts of the filter's n-grams, the same for every corpus.
-UNIGRAMS_FROM, BIGRAMS_FROM = 1, 2
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+TRUST = np.array([0.03, 0.1, 0.3, 0.6])
+KNOWN_WORDS = 300_000  # digests that a worker keeps from piece to piece
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,424 +48,285 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
+    """The bigram's hash; its lowest bit is left free."""
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word) & ~np.uint64(1)
 
 
-def place(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    """The bit number inside its slab that a probe for an n-gram's level looks at."""
-    a = mixed(h + np.uint64((PROBES * level + probe) * 0xD1342543DE82EF95 % 2**64))
-    return a & np.uint64(bits - 1)
+def level_of(count: np.ndarray) -> np.ndarray:
+    """The level of each count from 1 up; 0 for none."""
+    return np.where(count > 0, 1 + np.floor(STEPS * np.log2(np.maximum(count, 1)) + 1e-9), 0).astype(np.int64)
 
 
-def slab_of(h: np.ndarray, slabs: int = SLABS) -> np.ndarray:
-    """The slab of an n-gram among `slabs`, a power of two: the highest bits of its hash."""
-    return (h >> np.uint64(65 - slabs.bit_length())).astype(np.int64)
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    return np.where(level > 0, 2.0 ** ((level - 1) / STEPS), 0.0)
 
 
 class Filter:
-    """A filter, or some neighbouring slabs of one of `total` slabs (both powers of two): a row of bytes for each slab."""
+    """One slab: a bit array in which an n-gram of level n has PROBES bits for each level from 1 to n."""
+
+    def __init__(self, h: np.ndarray, level: np.ndarray):
+        self.bits = max(64, BITS_EACH * int(level.sum()) + 7 & ~7)
+        slab = np.zeros(self.bits, dtype=bool)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            h = h[level >= j]
+            level = level[level >= j]
+            for probe in range(PROBES):
+                slab[self._place(h, j, probe)] = True
+        self.slab = np.packbits(slab, bitorder="little")
 
-    def __init__(self, slabs: np.ndarray | None, steps: float, least: tuple[int, int], most_level: int, total: int = SLABS):
-        self.slabs, self.steps, self.least, self.most_level, self.total = slabs, steps, least, most_level, total
+    def _place(self, h: np.ndarray, level: int, probe: int) -> np.ndarray:
+        """The bit that a probe for an n-gram's level looks at."""
+        odd = np.uint64((2 * (PROBES * level + probe) + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        return (((h * odd) >> np.uint64(32)) * np.uint64(self.bits) >> np.uint64(32)).astype(np.int64)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram the highest level up to which every probe hits; 0 if it isn't there."""
-        found = np.zeros(len(h), dtype=np.int64)
-        alive = np.arange(len(h))
-        bits = self.slabs.shape[1] * 8
-        flat = self.slabs.reshape(-1)
-        for level in range(1, self.most_level + 1):
-            if not len(alive):
-                break
-            left = h[alive]
+        found = np.zeros(len(h), dtype=np.uint8)
+        alive, level = np.arange(len(h)), 0
+        while len(alive):
+            level += 1
             for probe in range(PROBES):  # most n-grams that aren't there miss early
-                p = place(left, level, probe, bits)
-                byte = flat[(slab_of(left, self.total) & (len(self.slabs) - 1)) * self.slabs.shape[1] + (p >> np.uint64(3)).astype(np.int64)]
-                hit = (byte >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                alive, left = alive[hit], left[hit]
+                p = self._place(h, level, probe)
+                hit = (self.slab[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                alive, h = alive[hit], h[hit]
             found[alive] = level
+            if level == 255:
+                break
         return found
 
-    def count(self, level: np.ndarray, order: int) -> np.ndarray:
-        """The least count of a level."""
-        return np.where(level > 0, self.least[order - 1] * 2.0 ** ((level - 1) / self.steps), 0.0)
-
-
-def _level(count: Column, least: int, steps: float) -> Column:
-    return (F.lit(1) + F.floor(F.lit(steps) * F.log2(count / F.lit(float(least))) + F.lit(1e-9))).cast("int")
-
-
-def _word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for t in b.column(0):
-                counts.update(words_of(t.as_py()))
-                counts[END] += 1
-                if len(counts) > flush:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-def _pair_counts(docs: DataFrame, flush: int = 1_500_000) -> DataFrame:
-    """
-    h and c of every bigram seen at least twice. A task sorts and counts the hashes of some million tokens at once and sends
-    them as packed runs, one for each range of hashes; ranges are merged where they meet. Hashes spread evenly and a task
-    sends a frequent bigram once a run, so no range is hot; there are several ranges for each shuffle partition.
-    """
-    bits = max(8, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, known, parts, size = xxhash.xxh64_intdigest, {}, [], 0
-
-        def out():
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
-            n = n.astype("<u4")
-            cuts = [*np.searchsorted(h, edges).tolist(), len(h)]
-            some = [k for k in range(1 << bits) if cuts[k] < cuts[k + 1]]
-            packed = [[a[cuts[k] : cuts[k + 1]].tobytes() for k in some] for a in (h, n)]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], ["range", "hs", "ns"])
-
-        for b in batches:
-            for t in b.column(0):
-                words = words_of(t.as_py())
-                words.append(END)
-                got = list(map(known.get, words))
-                if None in got:
-                    if len(known) > 400_000:
-                        known.clear()
-                    got = [known[w] if w in known else known.setdefault(w, digest(w)) for w in words]
-                h = np.array(got, dtype=np.uint64)
-                parts.append(pair_hash(np.concatenate([[BEGIN], h[:-1]]), h))
-                size += len(h)
-                if size > flush:
-                    yield out()
-                    parts, size = [], 0
-        if parts:
-            yield out()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, tuple[list, list]] = {}
-        for b in batches:
-            for k, h, n in zip(*(c.to_pylist() for c in b.columns)):
-                of = runs.setdefault(k, ([], []))
-                of[0].append(h)
-                of[1].append(n)
-        while runs:
-            _, (hs, ns) = runs.popitem()
-            h, n = np.frombuffer(b"".join(hs), dtype=np.uint64), np.frombuffer(b"".join(ns), dtype="<u4")
-            by = np.argsort(h, kind="stable")
-            h, n = h[by], n[by].astype(np.int64)
-            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            h, n = h[starts], np.add.reduceat(n, starts)
-            h, n = h[n > 1], n[n > 1]
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
-
-    return docs.select("text").mapInArrow(run, "range int, hs binary, ns binary").repartition("range").mapInArrow(merge, "h long, c long")
-
-
-def _held(counts: DataFrame, least: int, steps: float) -> tuple[int, int]:
-    """How many levels the n-grams have at most, and the highest level, from a histogram of a row a power of two."""
-    top = counts.where(F.col("c") >= least).groupBy(F.floor(F.log2(F.col("c") / least) + 1e-9).cast("int").alias("e")).agg(F.count("*").alias("n"))
-    rows = [(r["e"], r["n"]) for r in top.collect()]
-    return int(sum(n * (1 + steps * (e + 1)) for e, n in rows)), 1 + int(steps * (max((e for e, _ in rows), default=0) + 1))
-
-
-def fit(train: DataFrame, filter_bits: int = 1 << 28, bits_each: int = 12, steps: float = 2.0, head_words: int = 250_000) -> dict:
-    """Counts over all of `train` (a column text): the vocabulary table, its totals, the frequent words' counts and the filter."""
-    ship(train.sparkSession)
-    vocabulary = written(_word_counts(train), "vocabulary")
-    pairs = written(_pair_counts(train), "bigrams")
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    held, top1 = _held(vocabulary, UNIGRAMS_FROM, steps)
-    held2, top2 = _held(pairs, BIGRAMS_FROM, steps)
-    bits, slabs = 1 << 12, SLABS
-    while bits * slabs < bits_each * (held + held2):
-        if bits * SLABS < filter_bits:
-            bits *= 2
-        else:
-            slabs *= 2
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = np.array([xxhash.xxh64_intdigest(w) for w in b.column(0).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(h).view(np.int64)), b.column(1)], ["h", "level"])
-
-    ones = vocabulary.select("word", _level(F.col("c"), UNIGRAMS_FROM, steps).alias("level")).mapInArrow(hashed, "h long, level int")
-    twos = pairs.select("h", _level(F.col("c"), BIGRAMS_FROM, steps).alias("level"))
-    grams = ones.union(twos).withColumn("slab", F.shiftrightunsigned("h", 65 - slabs.bit_length()).cast("int"))
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        slab = np.zeros(bits, dtype=bool)
-        h, level = group["h"].to_numpy().view(np.uint64), group["level"].to_numpy()
-        for j in range(1, int(level.max()) + 1):
-            for probe in range(PROBES):
-                slab[place(h[level >= j], j, probe, bits).astype(np.int64)] = True
-        return pd.DataFrame({"slab": [group["slab"].iloc[0]], "bytes": [np.packbits(slab, bitorder="little").tobytes()]})
-
-    filled = written(grams.groupBy("slab").applyInPandas(fill, "slab int, bytes binary"), "filter")
-    dropped(pairs)
-    c = F.col("c")
-    seen = F.lit(float(UNIGRAMS_FROM)) * F.pow(F.lit(2.0), (_level(c, UNIGRAMS_FROM, steps) - 1) / F.lit(steps))
-    mass = vocabulary.agg(F.sum(seen).alias("seen")).first()
-    sizes = {r["e"]: r["n"] for r in vocabulary.groupBy(F.floor(F.log2(c) * 4 + 1e-9).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()}
-    edge, room = max(sizes, default=0) + 1, head_words
-    while edge > 0 and sizes.get(edge - 1, 0) <= room:
-        room -= sizes.get(edge - 1, 0)
-        edge -= 1
-    frequent = F.floor(F.log2(c) * 4 + 1e-9) >= edge
-    head = vocabulary.where(frequent).toArrow()  # head_words rows at most
-    return {
-        "vocabulary": vocabulary.where(~frequent),
-        "n": int(total["n"]),
-        "v": int(total["v"]),
-        "head": dict(zip(head["word"].to_pylist(), head["c"].to_pylist())),
-        "filter": Filter(None, steps, (UNIGRAMS_FROM, BIGRAMS_FROM), max(top1, top2), slabs),
-        "slabs": filled,
-        "slab_bytes": bits // 8,
-        "mass": (float(mass["seen"] or 0), 0.0, 0),
-    }
-
 
 class Reader:
-    """Texts as hashes of their tokens; keeps what it knows of words for the next texts."""
+    """Pieces as arrays of tokens; keeps digests of words for the next pieces."""
 
     def __init__(self):
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.word: list[bytes] = []
-        self.hash = np.empty(0, dtype=np.uint64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.word += new
-        self.hash = np.concatenate([self.hash, np.array([xxhash.xxh64_intdigest(w) for w in new], dtype=np.uint64)])
-
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """For each text its number of tokens; for each token its word's place, hash, and the bigram's hash; whether a text starts there; the words' places without repeats."""
-        docs = [words_of(t) for t in texts]
-        for d in docs:
-            d.append(END)
-        if len(self.place) > 400_000:
+        self.digest = np.empty((0, 2), dtype=np.uint64)
+
+    def read(self, texts: list[str | None]) -> None:
+        """
+        Sets lengths (tokens a text), ids (the place of each token's word), words (the places that occur, by their hash),
+        h (the hash of each place) and pair (each token's bigram; a text's first token follows an end).
+        """
+        if len(self.place) > KNOWN_WORDS:
             self._clear()
-        flat = list(chain.from_iterable(docs))
+        flat = b"".join(x for t in texts for x in ((t or "").encode(), b" \xff ")).lower().split()
         ids = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
         missing = np.flatnonzero(ids < 0).tolist()
         if missing:
-            self._learn(list({flat[i] for i in missing}))
+            new = list({flat[i] for i in missing})
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), dtype="<u8").reshape(-1, 2)
+            self.digest = np.concatenate([self.digest, digest])
             ids[missing] = [self.place[flat[i]] for i in missing]
-        lengths = np.array([len(d) for d in docs], dtype=np.int64)
-        h = self.hash[ids]
-        first = np.zeros(len(ids), dtype=bool)
-        first[np.cumsum(lengths) - lengths] = True
-        before = np.concatenate([[BEGIN], h[:-1]]) if len(h) else h
-        before[first] = BEGIN
-        there = np.zeros(len(self.word), dtype=bool)
+        end = self.place[END] if texts else -1
+        ends = np.flatnonzero(ids == end)
+        self.lengths = np.diff(ends, prepend=-1)
+        self.ids, self.h = ids, self.digest[:, 0]
+        there = np.zeros(len(self.place), dtype=bool)
         there[ids] = True
-        return lengths, ids, h, pair_hash(before, h), first, np.flatnonzero(there)
+        words = np.flatnonzero(there)
+        self.words = words[np.lexsort((self.digest[words, 1], self.h[words]))]
+        before = np.concatenate([[end], ids[:-1]])
+        self.pair = pair_hash(self.h[before], self.h[ids]) if len(ids) else np.empty(0, dtype=np.uint64)
 
-    def wanted(self, pair: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The distinct n-grams of texts that were read, sorted."""
-        return np.unique(np.concatenate([mixed(self.hash[words]), pair]))
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Where each run of equal values of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
 
-class Scorer(Reader):
-    """Scores texts with a fitted model."""
-
-    def __init__(self, head: dict, filter: Filter, n: int, v: int, mass: tuple, add: float = 0.1):
-        self.head, self.filter = head, filter
-        self.bottom = n + add * (v + 1)
-        self.add = add
-        seen, rare, rare_words = mass
-        self.total = seen + rare + add * (v + 1)
-        self.unseen = (rare + add * (rare_words + 1)) / (rare_words + 1)
-        super().__init__()
 
-    def _clear(self) -> None:
-        super()._clear()
-        self.base = np.empty(0, dtype=float)
+def _cut(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The parts of an array between cuts as binary values, without a copy of each."""
+    data = np.ascontiguousarray(data)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
-    def _learn(self, new: list[bytes]) -> None:
-        super()._learn(new)
-        exact = np.array([self.head.get(w, -1) for w in new], dtype=float)
-        self.base = np.concatenate([self.base, np.where(exact >= 0, np.log10((np.maximum(exact, 0) + self.add) / self.bottom), np.nan)])
 
-    def __call__(self, texts: list[str | None], answers: np.ndarray | None = None) -> dict[str, np.ndarray | list]:
-        """
-        For each text: tokens, tokens known as frequent words, their part of the base score, the model's log10 probability; and the other words, text after text, with their counts and the texts' bounds.
-        answers: the levels of wanted(), for a filter that isn't here.
-        """
-        lengths, ids, h, pair, first, words = self.read(texts)
-        docs, ends = texts, np.cumsum(lengths)
-        starts = ends - lengths
-        levels = self.filter.levels
-        if answers is not None:
-            asked = self.wanted(pair, words)
-            if len(asked) != len(answers):
-                raise ValueError(f"{len(answers)} answers for {len(asked)} n-grams")
-            levels = lambda x: answers[np.searchsorted(asked, x)].astype(np.int64)
-        count = self.filter.count(levels(mixed(self.hash[words])), 1)
-        prior, uni = np.zeros(len(self.word)), np.zeros(len(self.word))
-        prior[words], uni[words] = count, np.where(count > 0, count + self.add, self.unseen) / self.total
-        pairs = self.filter.count(levels(pair), 2)
-        docs_seen = max(float(self.head.get(END, 0)), 1.0)
-        context = np.concatenate([[0.0], prior[ids[:-1]]]) if len(h) else np.empty(0)
-        context[first] = docs_seen
-        known = pairs > 0
-        run = np.zeros(len(ids), dtype=np.int64)
-        so_far = np.ones(len(ids), dtype=bool)
-        for back in (1, 2, 3):
-            shifted = np.zeros(len(ids), dtype=bool)
-            shifted[back:] = known[:-back] if back else known
-            for b in range(back):  # not across the start of a text
-                at = starts + b
-                shifted[at[at < len(ids)]] = False
-            so_far &= shifted
-            run += so_far
-        trust = TRUST[run] * (context > 0)
-        top = 2.0 ** (1 / self.filter.steps)  # a context's count is below the next level's
-        bigram = np.where(known & (context > 0), np.minimum(1.0, pairs / np.maximum(np.maximum(context * top, pairs), 1e-9)), 0.0)
-        logs = np.log10(trust * bigram + (1 - trust) * uni[ids])
-        base = self.base[ids]
-        rare = np.isnan(base)
-        owner = np.repeat(np.arange(len(docs)), lengths)
-        pairs, times = np.unique(owner[rare] * len(self.word) + ids[rare], return_counts=True)
-        return {
-            "tokens": lengths,
-            "frequent": lengths - np.add.reduceat(rare, starts, dtype=np.int64),
-            "base": np.add.reduceat(np.where(rare, 0.0, base), starts),
-            "score": np.add.reduceat(logs, starts),
-            "words": [self.word[i] for i in pairs % len(self.word)],
-            "times": times,
-            "bounds": np.searchsorted(pairs // len(self.word), np.arange(len(docs) + 1)),
-        }
-
-
-def _asked(rows: DataFrame, ranges: int, chars: int) -> DataFrame:
-    """chunk, at (the first uid of a piece of a chunk), range and hashes: the distinct n-grams of each piece by ranges of hashes. A piece is a run of neighbouring rows of about `chars` characters."""
+def asked(rows: DataFrame, ranges: int, chars: int) -> DataFrame:
+    """
+    The distinct n-grams of each piece of rows (chunk, uid, held_out, text), a row for each range of hashes that they fall into: words (two hashes each) and
+    bigrams with their training counts. A piece is a run of neighbouring rows of a chunk, of about `chars` characters; `at` is its first uid.
+    """
     edges = np.arange(ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, texts, chunk, at, last, size = Reader(), [], None, None, None, 0
+        reader, texts, held, chunk, at, last, size = Reader(), [], [], None, None, None, 0
 
         def out():
-            _, _, _, pair, _, words = reader.read(texts)
-            h = reader.wanted(pair, words)
-            cuts = [*np.searchsorted(h, edges).tolist(), len(h)]
-            some = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
-            data = [h[cuts[k] : cuts[k + 1]].tobytes() for k in some]
-            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([at] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], ["chunk", "at", "range", "data"])
+            reader.read(texts)
+            train = np.repeat(~np.array(held), reader.lengths)
+            n = np.bincount(reader.ids[train], minlength=len(reader.place))[reader.words]
+            w = reader.digest[reader.words]
+            p = np.sort(reader.pair | (~train).astype(np.uint64))  # the lowest bit marks tokens that aren't learned from
+            learned = 1 - (p & np.uint64(1)).astype(np.uint32)
+            starts = _runs(p >> np.uint64(1))
+            p = p[starts] & ~np.uint64(1)
+            cuts = lambda h: np.append(np.searchsorted(h, edges), len(h))
+            of_words, of_pairs = cuts(w[:, 0]), cuts(p)
+            columns = [np.arange(ranges, dtype=np.int32), np.full(ranges, chunk), np.full(ranges, at)]
+            parts = [_cut(w[:, 0], of_words), _cut(w[:, 1], of_words), _cut(n.astype("<u4"), of_words), _cut(p, of_pairs), _cut(np.add.reduceat(learned, starts).astype("<u4"), of_pairs)]
+            some = (np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *parts], ["range", "chunk", "at", "w", "w2", "wn", "p", "pn"]).filter(pa.array(some))
 
         for b in batches:
-            for c, uid, text in zip(*(b.column(k) for k in ("chunk", "uid", "text"))):
+            for c, uid, is_held, text in zip(*(b.column(k) for k in range(4))):
                 c, uid, text = c.as_py(), uid.as_py(), text.as_py()
                 if texts and (c != chunk or uid != last + 1 or size + len(text or "") > chars):
                     yield out()
-                    texts, size = [], 0
+                    texts, held, size = [], [], 0
                 if not texts:
                     chunk, at = c, uid
                 texts.append(text)
+                held.append(is_held.as_py())
                 last, size = uid, size + len(text or "")
         if texts:
             yield out()
 
-    return rows.select("chunk", "uid", "text").mapInArrow(run, "chunk long, at long, range int, data binary")
+    return rows.select("chunk", "uid", "held_out", "text").mapInArrow(run, "range int, chunk long, at long, w binary, w2 binary, wn binary, p binary, pn binary")
+
 
+def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys (by their first hash), the sums of n, and for each entry the place of its key. keys: one or two hashes of each entry; the first is of sorted runs."""
+    by = np.argsort(keys[0], kind="stable")
+    new = np.concatenate([[True], np.diff(keys[0][by]) != 0])[: len(by)]
+    if len(keys) > 1 and (np.diff(keys[1][by]) != 0)[~new[1:]].any():  # two words of one hash
+        by = np.lexsort(keys[::-1])
+        new = np.concatenate([[True], (np.diff(keys[0][by]) != 0) | (np.diff(keys[1][by]) != 0)])
+    starts = np.flatnonzero(new)
+    place = np.empty(len(by), dtype=np.int64)
+    place[by] = np.cumsum(new) - 1
+    return keys[0][by][starts], np.add.reduceat(n[by].astype(np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64), place
 
-def _answered(asked: DataFrame, model: dict, ranges: int) -> DataFrame:
-    """The questions with the level of each hash, a byte each, in place of the hashes. Slabs come before the questions of their range, so a task holds the slabs of one range."""
-    f, width = model["filter"], model["slab_bytes"]
-    total, steps, least, most, held = f.total, f.steps, f.least, f.most_level, f.total // ranges
 
+def answered(questions: DataFrame) -> DataFrame:
+    """
+    For each row of asked(): chunk, at, range, the levels of its words and bigrams as the filter's probes find them, a byte each, and the words' exact counts. For each range besides,
+    with a null chunk: how many training tokens (n) and distinct words (v) it holds, and the sum of their counts as read from the filter (mass).
+    """
+
+    def of_range(r: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        array = lambda k, kind="<u8": np.frombuffer(b"".join(x[k] for x in rows), dtype=kind)
+        w, c, w_place = _summed([array(2), array(3)], array(4, "<u4"))
+        p, d, p_place = _summed([array(5)], array(6, "<u4"))
+        h, level = np.concatenate([mixed(w), p]), np.concatenate([level_of(c), level_of(d)])
+        slab = Filter(h[level > 0], level[level > 0])
+        found = slab.levels(h)
+        sizes, pair_sizes = np.array([len(x[2]) // 8 for x in rows]), np.array([len(x[5]) // 8 for x in rows])
+        ends = lambda n: np.concatenate([[0], np.cumsum(n)])
+        columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([r] * len(rows), pa.int32())]
+        columns += [_cut(found[w_place], ends(sizes)), _cut(found[len(w) :][p_place], ends(pair_sizes)), _cut(c[w_place], ends(sizes))]
+        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+        names = ["chunk", "at", "range", "words", "pairs", "counts", "n", "v", "mass"]
+        yield pa.RecordBatch.from_arrays([*columns, *none], names)
+        sums = [pa.array([int(c.sum())], pa.int64()), pa.array([int((c > 0).sum())], pa.int64()), pa.array([float(count_of(found[: len(w)][c > 0].astype(np.int64)).sum())])]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x.type) for x in columns[:2]), pa.array([r], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(3)), *sums], names)
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, some = None, None
+        now, rows = None, []
         for b in batches:
-            kept = ([], [], [], [])
-            for chunk, at, r, slab, data in zip(*(c.to_pylist() for c in b.columns)):
-                if r != now:
-                    now, some = r, Filter(np.zeros((held, width), dtype=np.uint8), steps, least, most, total)
-                if at is None:
-                    some.slabs[slab & (held - 1)] = np.frombuffer(data, dtype=np.uint8)
-                else:
-                    levels = some.levels(np.frombuffer(data, dtype=np.uint64)).astype(np.uint8).tobytes()
-                    for column, x in zip(kept, (chunk, at, r, levels)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(kept, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["chunk", "at", "range", "data"])
+            for r, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if r != now and rows:
+                    yield from of_range(now, rows)
+                    rows = []
+                now = r
+                rows.append(row)
+        if rows:
+            yield from of_range(now, rows)
+
+    schema = "chunk long, at long, range int, words binary, pairs binary, counts binary, n long, v long, mass double"
+    return questions.repartition("range").sortWithinPartitions("range").mapInArrow(run, schema)
 
-    none = F.lit(None).cast("long")
-    slabs = model["slabs"].select(none.alias("chunk"), none.alias("at"), F.floor(F.col("slab") / held).cast("int").alias("range"), "slab", F.col("bytes").alias("data"))
-    both = slabs.union(asked.select("chunk", "at", "range", F.lit(None).cast("int").alias("slab"), "data"))
-    both = both.repartition("range").sortWithinPartitions("range", F.col("at").asc_nulls_first())
-    return both.mapInArrow(run, "chunk long, at long, range int, data binary")
 
+class Scorer(Reader):
+    """Scores pieces with the answers to their questions; n, v and mass are the sums over all ranges."""
 
-def score(docs: DataFrame, folds: int = 10, held: int = 0, chunk_rows: int = 2048, piece_chars: int = 4_000_000, **options) -> DataFrame:
+    def __init__(self, n: int, v: int, mass: float, add: float = 0.1):
+        super().__init__()
+        self.bottom, self.add, self.total = n + add * (v + 1), add, mass + add * (v + 1)
+
+    def __call__(self, texts: list[str | None], words: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """For each text: tokens, tokens known from training, the base score, the model's log10 probability. words and counts go with the piece's distinct words by hash, pairs with its distinct bigrams."""
+        self.read(texts)
+        if len(words) != len(self.words):
+            raise ValueError(f"{len(words)} answers for {len(self.words)} words")
+        exact, prior, uni = np.zeros(len(self.place), dtype=np.int64), np.zeros(len(self.place)), np.zeros(len(self.place))
+        exact[self.words], prior[self.words] = counts, count_of(words.astype(np.int64))
+        uni[self.words] = (prior[self.words] + self.add) / self.total
+        base = np.log10((exact + self.add) / self.bottom)
+        by = np.argsort(self.pair)
+        new = np.diff(self.pair[by], prepend=0) != 0
+        new[:1] = True
+        seen = np.empty(len(by))
+        seen[by] = count_of(pairs.astype(np.int64))[np.cumsum(new) - 1]
+        ids = self.ids
+        context = prior[np.concatenate([[self.place[END]], ids[:-1]])]
+        known = seen > 0
+        ends = np.cumsum(self.lengths)
+        starts = ends - self.lengths
+        run, so_far = np.zeros(len(ids), dtype=np.int64), np.ones(len(ids), dtype=bool)
+        for back in (1, 2, 3):
+            shifted = np.zeros(len(ids), dtype=bool)
+            shifted[back:] = known[:-back]
+            for b in range(back):  # not across the start of a text
+                at = starts + b
+                shifted[at[at < len(ids)]] = False
+            so_far &= shifted
+            run += so_far
+        trust = TRUST[run] * (context > 0)
+        top = 2.0 ** (1 / STEPS)  # a context's count is below the next level's
+        bigram = np.where(known & (context > 0), np.minimum(1.0, seen / np.maximum(np.maximum(context * top, seen), 1e-9)), 0.0)
+        logs = np.log10(trust * bigram + (1 - trust) * uni[ids])
+        sums = lambda x: np.add.reduceat(x, starts)
+        return {"n_tokens": self.lengths, "n_known": sums((exact > 0)[ids].astype(np.int64)), "base_score": sums(base[ids]), "score": sums(logs)}
+
+
+def score(docs: DataFrame, folds: int = 10, held: int = 0, chunk_rows: int = 1024, piece_chars: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs (doc_id, text); learns from the rows whose fold isn't `held`."""
     spark = docs.sparkSession
+    ship(spark)
     uid = F.monotonically_increasing_id()
     rows = docs.select(F.col("doc_id").cast("long"), "text", (fold("doc_id", folds) == held).alias("held_out"), uid.alias("uid"))
     rows = written(rows, "texts").withColumn("chunk", F.floor(F.col("uid") / chunk_rows))  # fixes the numbers
-    model = fit(rows.where(~F.col("held_out")), **options)
-    n, v, mass = model["n"], model["v"], model["mass"]
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffles that counted
-    sent = spark.sparkContext.broadcast((model["head"], model["filter"]))
+    ranges = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+    answers = written(answered(asked(rows, ranges, piece_chars)), "answers")
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle that counted
+    zero = lambda c, z: F.coalesce(F.sum(c), F.lit(z)).alias(c)
+    n, v, mass = answers.where("chunk IS NULL").agg(zero("n", 0), zero("v", 0), zero("mass", 0.0)).first()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*sent.value, n, v, mass)
-        levels, uids, ids, held_out, texts = [], [], [], [], []
+        scorer = Scorer(n, v, mass)
+        answer, kept = ([], [], []), ([], [], [])
 
         def out():
-            got = scorer(texts, np.frombuffer(b"".join(levels), dtype=np.uint8))
-            tail = pa.StructArray.from_arrays([pa.array(got["words"], pa.binary()), pa.array(got["times"], pa.int64())], ["word", "n"])
-            columns = [pa.array(got[name]) for name in ("tokens", "frequent", "base", "score")]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), *columns, pa.ListArray.from_arrays(pa.array(got["bounds"], pa.int32()), tail)],
-                ["key", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score", "tail"],
-            )
+            of = lambda k, kind: np.frombuffer(b"".join(answer[k]), dtype=kind)
+            ids, held_out, texts = kept
+            got = scorer(texts, of(0, np.uint8), of(1, np.uint8), of(2, "<i8"))
+            train = pa.array(np.full(len(texts), n))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), *(pa.array(got[c]) for c in ("n_tokens", "n_known")), train, *(pa.array(got[c]) for c in ("base_score", "score"))], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         for b in batches:
-            for data, *row in zip(*(b.column(k).to_pylist() for k in ("data", "at", "doc_id", "held_out", "text"))):
-                if data is None:
-                    for column, x in zip((uids, ids, held_out, texts), row):
+            for words, pairs, counts, *row in zip(*(b.column(k).to_pylist() for k in ("words", "pairs", "counts", "doc_id", "held_out", "text"))):
+                if words is None:
+                    for column, x in zip(kept, row):
                         column.append(x)
                     continue
-                if texts:
+                if kept[0]:
                     yield out()
-                    levels, uids, ids, held_out, texts = [], [], [], [], []
-                levels.append(data)
-        if texts:
+                    answer, kept = ([], [], []), ([], [], [])
+                for column, x in zip(answer, (words, pairs, counts)):
+                    column.append(x)
+        if kept[0]:
             yield out()
 
-    schema = "key long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score double, tail array<struct<word: binary, n: long>>"
-    ranges = max(SLABS, model["filter"].total // SLABS_HELD)
-    answers = _answered(_asked(rows, ranges, piece_chars), model, ranges)
-    late = F.lit(2**31 - 1)  # a piece's texts come after its answers
-    pieces = answers.select("chunk", "at", "range", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
-    pieces = pieces.union(rows.select("chunk", F.col("uid").alias("at"), late.alias("range"), F.lit(None).cast("binary").alias("data"), "doc_id", "held_out", "text"))
+    null = lambda kind: F.lit(None).cast(kind)
+    last = F.lit(2**31 - 1)  # a piece's texts come after its answers
+    pieces = answers.where("chunk IS NOT NULL").select("chunk", "at", "range", "words", "pairs", "counts", null("long").alias("doc_id"), null("boolean").alias("held_out"), null("string").alias("text"))
+    pieces = pieces.union(rows.select("chunk", F.col("uid").alias("at"), last.alias("range"), null("binary"), null("binary"), null("binary"), "doc_id", "held_out", "text"))
     pieces = pieces.repartition("chunk").sortWithinPartitions("chunk", "at", "range")
-    scored = written(pieces.mapInArrow(run, schema), "scores")
-    tail = scored.select("key", F.inline("tail")).join(model["vocabulary"], "word", "left")
-    logs = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(n + 0.1 * (v + 1)))
-    sums = tail.groupBy("key").agg(F.sum(F.col("n") * logs).alias("base_tail"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_tail"))
-    out = scored.drop("tail").join(sums, "key", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base_head") + F.coalesce("base_tail", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    return pieces.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
