@@ -63,7 +63,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxscribe-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # once the table stands, nothing reads the shuffles that made it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

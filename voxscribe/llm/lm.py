@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from voxscribe.llm.common import fold, frugal, ship, written
 
-PROBES = 4
 STEPS = 2.0
 BITS_EACH = 12  # bits of a slab for each level put into it
 END = b"\xff"  # no UTF-8 text holds this byte, so it is the end of text
 #: Weight of the bigram by the number of known bigrams just before (0 to 3 or more).
 TRUST = np.array([0.03, 0.1, 0.3, 0.6])
+BELOW = 40  # bits of a bigram's hash below those that name its slab, so slabs as full as they may be mistake one bigram for another less often than probes do
 KNOWN_WORDS = 300_000  # digests that a worker keeps from piece to piece
 
 
@@ -47,9 +47,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The bigram's hash; its lowest bit is left free."""
-    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word) & ~np.uint64(1)
+def pair_hash(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """The bigram's hash: its highest `bits` bits, the others zero."""
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word) & np.uint64(2**64 - 2 ** (64 - bits))
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -63,7 +63,7 @@ def count_of(level: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """One slab: a bit array in which an n-gram of level n has PROBES bits for each level from 1 to n."""
+    """One slab: a bit array in which an n-gram of level n has four bits for each level from 1 to n."""
 
     def __init__(self, h: np.ndarray, level: np.ndarray):
         self.bits = max(64, BITS_EACH * int(level.sum()) + 7 & ~7)
@@ -71,35 +71,39 @@ class Filter:
         for j in range(1, int(level.max(initial=0)) + 1):
             h = h[level >= j]
             level = level[level >= j]
-            for probe in range(PROBES):
-                slab[self._place(h, j, probe)] = True
+            for half in range(2):
+                for p in self._places(h, j, half):
+                    slab[p] = True
         self.slab = np.packbits(slab, bitorder="little")
 
-    def _place(self, h: np.ndarray, level: int, probe: int) -> np.ndarray:
-        """The bit that a probe for an n-gram's level looks at."""
-        odd = np.uint64((2 * (PROBES * level + probe) + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        return (((h * odd) >> np.uint64(32)) * np.uint64(self.bits) >> np.uint64(32)).astype(np.int64)
+    def _places(self, h: np.ndarray, level: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """The bits that two of the four probes for an n-gram's level look at."""
+        word = mixed(h + np.uint64((2 * level + half) * 0xD1342543DE82EF95 % 2**64))
+        place = lambda x: (x * np.uint64(self.bits) >> np.uint64(32)).astype(np.int64)
+        return place(word >> np.uint64(32)), place(word & np.uint64(0xFFFFFFFF))
+
+    def _hits(self, h: np.ndarray, level: int, half: int) -> np.ndarray:
+        a, b = self._places(h, level, half)
+        return ((self.slab[a >> 3] >> (a & 7).astype(np.uint8)) & (self.slab[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram the highest level up to which every probe hits; 0 if it isn't there."""
         found = np.zeros(len(h), dtype=np.uint8)
         alive, level = np.arange(len(h)), 0
-        while len(alive):
+        while len(alive) and level < 255:
             level += 1
-            for probe in range(PROBES):  # most n-grams that aren't there miss early
-                p = self._place(h, level, probe)
-                hit = (self.slab[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+            for half in range(2):  # most n-grams that aren't there miss in the first
+                hit = self._hits(h, level, half)
                 alive, h = alive[hit], h[hit]
             found[alive] = level
-            if level == 255:
-                break
         return found
 
 
 class Reader:
     """Pieces as arrays of tokens; keeps digests of words for the next pieces."""
 
-    def __init__(self):
+    def __init__(self, ranges: int):
+        self.bits = ranges.bit_length() - 1 + BELOW
         self._clear()
 
     def _clear(self) -> None:
@@ -131,7 +135,7 @@ class Reader:
         words = np.flatnonzero(there)
         self.words = words[np.lexsort((self.digest[words, 1], self.h[words]))]
         before = np.concatenate([[end], ids[:-1]])
-        self.pair = pair_hash(self.h[before], self.h[ids]) if len(ids) else np.empty(0, dtype=np.uint64)
+        self.pair = pair_hash(self.h[before], self.h[ids], self.bits) if len(ids) else np.empty(0, dtype=np.uint64)
 
 
 def _runs(h: np.ndarray) -> np.ndarray:
@@ -150,11 +154,12 @@ def asked(rows: DataFrame, ranges: int, chars: int) -> DataFrame:
     The distinct n-grams of each piece of rows (chunk, uid, held_out, text), a row for each range of hashes that they fall into: words (two hashes each) and
     bigrams with their training counts. A piece is a run of neighbouring rows of a chunk, of about `chars` characters; `at` is its first uid.
     """
-    edges = np.arange(ranges, dtype=np.uint64) << np.uint64(65 - ranges.bit_length())
+    low = np.uint64(65 - ranges.bit_length())  # bits below those that name the range
+    edges = np.arange(ranges, dtype=np.uint64) << low
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, texts, held, chunk, at, last, size = Reader(), [], [], None, None, None, 0
+        reader, texts, held, chunk, at, last, size = Reader(ranges), [], [], None, None, None, 0
 
         def out():
             reader.read(texts)
@@ -168,9 +173,10 @@ def asked(rows: DataFrame, ranges: int, chars: int) -> DataFrame:
             cuts = lambda h: np.append(np.searchsorted(h, edges), len(h))
             of_words, of_pairs = cuts(w[:, 0]), cuts(p)
             columns = [np.arange(ranges, dtype=np.int32), np.full(ranges, chunk), np.full(ranges, at)]
-            parts = [_cut(w[:, 0], of_words), _cut(w[:, 1], of_words), _cut(n.astype("<u4"), of_words), _cut(p, of_pairs), _cut(np.add.reduceat(learned, starts).astype("<u4"), of_pairs)]
+            p = (p << (np.uint64(64) - low)) >> np.uint64(64 - BELOW)
+            parts = [_cut(w[:, 0], of_words), _cut(w[:, 1], of_words), _cut(n.astype("<u4"), of_words), _cut((p >> np.uint64(8)).astype("<u4"), of_pairs), _cut(p.astype(np.uint8), of_pairs), _cut(np.add.reduceat(learned, starts).astype("<u4"), of_pairs)]
             some = (np.diff(of_words) > 0) | (np.diff(of_pairs) > 0)
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *parts], ["range", "chunk", "at", "w", "w2", "wn", "p", "pn"]).filter(pa.array(some))
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), *parts], ["range", "chunk", "at", "w", "w2", "wn", "p", "p2", "pn"]).filter(pa.array(some))
 
         for b in batches:
             for c, uid, is_held, text in zip(*(b.column(k) for k in range(4))):
@@ -186,7 +192,7 @@ def asked(rows: DataFrame, ranges: int, chars: int) -> DataFrame:
         if texts:
             yield out()
 
-    return rows.select("chunk", "uid", "held_out", "text").mapInArrow(run, "range int, chunk long, at long, w binary, w2 binary, wn binary, p binary, pn binary")
+    return rows.select("chunk", "uid", "held_out", "text").mapInArrow(run, "range int, chunk long, at long, w binary, w2 binary, wn binary, p binary, p2 binary, pn binary")
 
 
 def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,20 +208,23 @@ def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[0][by][starts], np.add.reduceat(n[by].astype(np.int64), starts) if len(starts) else np.empty(0, dtype=np.int64), place
 
 
-def answered(questions: DataFrame) -> DataFrame:
+def answered(questions: DataFrame, ranges: int) -> DataFrame:
     """
     For each row of asked(): chunk, at, range, the levels of its words and bigrams as the filter's probes find them, a byte each, and the words' exact counts. For each range besides,
     with a null chunk: how many training tokens (n) and distinct words (v) it holds, and the sum of their counts as read from the filter (mass).
     """
 
+    low = np.uint64(65 - ranges.bit_length())
+
     def of_range(r: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         array = lambda k, kind="<u8": np.frombuffer(b"".join(x[k] for x in rows), dtype=kind)
         w, c, w_place = _summed([array(2), array(3)], array(4, "<u4"))
-        p, d, p_place = _summed([array(5)], array(6, "<u4"))
+        p = (array(5, "<u4").astype(np.uint64) << np.uint64(8) | array(6, np.uint8)) << (low - np.uint64(BELOW)) | np.uint64(r) << low
+        p, d, p_place = _summed([p], array(7, "<u4"))
         h, level = np.concatenate([mixed(w), p]), np.concatenate([level_of(c), level_of(d)])
         slab = Filter(h[level > 0], level[level > 0])
         found = slab.levels(h)
-        sizes, pair_sizes = np.array([len(x[2]) // 8 for x in rows]), np.array([len(x[5]) // 8 for x in rows])
+        sizes, pair_sizes = np.array([len(x[2]) // 8 for x in rows]), np.array([len(x[6]) for x in rows])
         ends = lambda n: np.concatenate([[0], np.cumsum(n)])
         columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([r] * len(rows), pa.int32())]
         columns += [_cut(found[w_place], ends(sizes)), _cut(found[len(w) :][p_place], ends(pair_sizes)), _cut(c[w_place], ends(sizes))]
@@ -245,8 +254,8 @@ def answered(questions: DataFrame) -> DataFrame:
 class Scorer(Reader):
     """Scores pieces with the answers to their questions; n, v and mass are the sums over all ranges."""
 
-    def __init__(self, n: int, v: int, mass: float, add: float = 0.1):
-        super().__init__()
+    def __init__(self, ranges: int, n: int, v: int, mass: float, add: float = 0.1):
+        super().__init__(ranges)
         self.bottom, self.add, self.total = n + add * (v + 1), add, mass + add * (v + 1)
 
     def __call__(self, texts: list[str | None], words: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -292,15 +301,14 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, chunk_rows: int = 102
     uid = F.monotonically_increasing_id()
     rows = docs.select(F.col("doc_id").cast("long"), "text", (fold("doc_id", folds) == held).alias("held_out"), uid.alias("uid"))
     rows = written(rows, "texts").withColumn("chunk", F.floor(F.col("uid") / chunk_rows))  # fixes the numbers
-    ranges = 1 << max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    answers = written(answered(asked(rows, ranges, piece_chars)), "answers")
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle that counted
+    ranges = 1 << min(20, max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+    answers = written(answered(asked(rows, ranges, piece_chars), ranges), "answers")
     zero = lambda c, z: F.coalesce(F.sum(c), F.lit(z)).alias(c)
     n, v, mass = answers.where("chunk IS NULL").agg(zero("n", 0), zero("v", 0), zero("mass", 0.0)).first()
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(n, v, mass)
+        scorer = Scorer(ranges, n, v, mass)
         answer, kept = ([], [], []), ([], [], [])
 
         def out():
