@@ -8,27 +8,27 @@ text may begin anywhere outside, what is cut away inside main text stays away wi
 below it returns. The trees are fitted on pages that a seeded writer makes up in many layouts, since no table holds labels.
 
 Defined cases: null or blank html gives the empty text; repeated rows and null ids pass through; html of any length is
-read as a whole; unclosed, stray and misnested tags are repaired; an empty table gives an empty result.
+read as a whole in time that grows with its length; unclosed, stray and misnested tags are repaired; white space is what Unicode calls so,
+no-break spaces and U+001C to U+001F included; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
 import html
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import ship
+from voxscribe.llm.common import frugal, ship
 
-MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>"'<]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>"'<]*)([^>]*)>""",
-    re.S,
-)
+NAME = re.compile(r"""/?[a-zA-Z][^\s/>"'<]*""")
+REST = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")  # attributes with their quotes, up to the end of the tag
+DEEPEST = 256  # elements open at once; what is nested deeper has its text with the last of them
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -41,6 +41,7 @@ CLOSES_P = set("address article aside blockquote center details dialog dir div d
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"thead", "tbody", "tfoot"}, "tbody": {"thead", "tbody", "tfoot"}, "tfoot": {"thead", "tbody", "tfoot"}}
 KINDS = [{"article", "main"}, {"section", "div", "center"}, {"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset", "select", "option", "input", "button", "textarea", "label", "dialog"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"table", "thead", "tbody", "tfoot", "tr"}, {"td", "th"}, {"pre", "blockquote", "figure", "figcaption", "details", "summary"}, {"head", "title", "noscript", "template", "iframe", "object", "svg", "video", "audio", "canvas"}]
+KIND_OF = {name: k for k, names in enumerate(KINDS) for name in names}
 BOILER = set("nav navbar navigation menu menubar header masthead topbar banner footer foot bottom sidebar side aside rail widget ad ads advert adverts advertisement sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login register search share sharing social follow related recommended recommend more comment comments reply replies discussion disqus respond breadcrumb breadcrumbs pagination pager tags meta byline author copyright legal disclaimer toolbar skip form".split())
 CONTENT = set("article content main post entry story body text page hentry blog news copy prose single".split())
 BUCKETS = 12
@@ -50,34 +51,64 @@ class Page:
     """Blocks in document order (a parent before its children) and the text runs that belong to them."""
 
     def __init__(self, source: str):
-        self.tag, self.attrs, self.parent, self.truth = ["#page"], [""], [-1], [0]
+        self.tag, self.attrs, self.parent = ["#page"], [""], [-1]
         self.runs: list[tuple[int, str, bool]] = []  # block, text, inside a link
         self.links = 0
         stack: list[tuple[str, int]] = [("#page", 0)]
         at, n = 0, len(source)
-        while at < n:
-            m = MARKUP.search(source, at)
-            if m is None:
-                self._text(stack, source[at:])
-                break
-            if m.start() > at:
-                self._text(stack, source[at : m.start()])
-            at = m.end()
-            name = m[1] or m[2] or m[4]
-            if not name:
-                continue
-            name = name.lower()
-            if m[1]:
+        for kind, start, end, name, attrs in self._markup(source):
+            if start > at:
+                self._text(stack, source[at:start])
+            at = end
+            if kind == "close":
                 self._close(stack, name)
-                continue
-            attrs = m[3] if m[2] else m[5]
-            self._open(stack, name, attrs)
-            if name in RAW or name in ESCAPABLE:
-                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
-                inside = source[at : end.start()] if end else source[at:]
-                if name in ESCAPABLE:
-                    self._text(stack, inside)
-                at = end.start() if end else n
+            elif kind == "open":
+                self._open(stack, name, attrs)
+            elif kind == "inside" and name in ESCAPABLE:
+                self._text(stack, source[start:end])
+        if at < n:
+            self._text(stack, source[at:])
+
+    @staticmethod
+    def _markup(source: str) -> Iterator[tuple[str, int, int, str, str]]:
+        """
+        Kind (open, close, inside for what a raw element holds, none), start, end, name and attributes of each piece of markup. Every character is looked at a fixed number of times: quotes count
+        only until a tag is met whose quotes never close, and once no > is left the rest is text.
+        """
+        at, n, quotes = 0, len(source), True
+        while (at := source.find("<", at)) >= 0:
+            name = NAME.match(source, at + 1)
+            if name is None:
+                if source.startswith("<!--", at):
+                    end = source.find("-->", at + 4)
+                    end = n if end < 0 else end + 3
+                elif source.startswith("<![CDATA[", at):
+                    end = source.find("]]>", at)
+                    end = n if end < 0 else end + 3
+                elif source[at + 1 : at + 2] in ("!", "?", "/") and source[at + 1 : at + 3] != "/":
+                    end = source.find(">", at) + 1
+                    if not end:
+                        return
+                else:
+                    at += 1
+                    continue
+                yield "none", at, end, "", ""
+            else:
+                rest = REST.match(source, name.end()) if quotes and name[0][0] != "/" else None
+                if rest:
+                    end = rest.end()
+                else:
+                    quotes = quotes and name[0][0] == "/"
+                    end = source.find(">", name.end()) + 1
+                    if not end:
+                        return
+                tag = name[0].lower()
+                yield ("close", at, end, tag[1:], "") if tag[0] == "/" else ("open", at, end, tag, source[name.end() : end - 1])
+                if tag in RAW or tag in ESCAPABLE:
+                    close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, end)
+                    yield "inside", end, close.start() if close else n, tag, ""
+                    end = close.start() if close else n
+            at = end
 
     def _open(self, stack: list, name: str, attrs: str) -> None:
         if name in CLOSES_P:
@@ -98,7 +129,7 @@ class Page:
         if name in INLINE:
             if name == "br":
                 self.runs.append((top, " ", False))
-            elif name not in VOID:
+            elif name not in VOID and len(stack) < DEEPEST:
                 self.links += name == "a"
                 stack.append((name, top))
             return
@@ -107,12 +138,9 @@ class Page:
         self.tag.append(name)
         self.attrs.append(attrs)
         self.parent.append(top)
-        self.truth.append(0)
         self.runs.append((-1, "", False))
-        if name not in VOID and not attrs.endswith("/"):
+        if name not in VOID and len(stack) < DEEPEST:  # a slash at the end means nothing on other elements
             stack.append((name, len(self.tag) - 1))
-        elif name not in VOID:
-            stack.append((name, len(self.tag) - 1))  # the slash means nothing on other elements
 
     def _pop(self, stack: list, i: int) -> None:
         for name, _ in stack[i:]:
@@ -150,10 +178,7 @@ class Page:
         for i, raw in enumerate(self.attrs):
             if raw and raw != "/":
                 for m in ATTRIBUTE.finditer(raw):
-                    key = m[1].lower()
-                    if key == "data-truth":
-                        self.truth[i] = int(m[2])
-                    elif key in {"class", "id", "role", "itemprop", "aria-label"}:
+                    if m[1].lower() in {"class", "id", "role", "itemprop", "aria-label"}:
                         for t in TOKEN.findall(m[2] or m[3] or m[4] or ""):
                             t = t.lower()
                             hits[i, 0] += t in BOILER
@@ -161,9 +186,8 @@ class Page:
                             hashed[i, sum(t.encode()) % BUCKETS] += 1
         kind = np.zeros((n, len(KINDS)))
         for i, t in enumerate(self.tag):
-            for k, names in enumerate(KINDS):
-                if t in names:
-                    kind[i, k] = 1
+            if t in KIND_OF:
+                kind[i, KIND_OF[t]] = 1
         text, links, blocks, paragraphs, items = own.copy(), link.copy(), np.ones(n), kind[:, 7].copy(), kind[:, 10].copy()
         fields = kind[:, 6].copy()
         for i in range(n - 1, 0, -1):
@@ -309,7 +333,7 @@ class Writer:
         return of[self.rng.integers(len(of))]
 
     def tag(self, name: str, names: tuple = (), inside: str = "", truth: int = 0) -> str:
-        attrs = f' data-truth="{truth}"' if truth else ""
+        attrs = MARK if truth else ""
         if names and self.chance(0.8):
             key, value = self.one("class", "id", "class"), self.one(*names)
             attrs += f' {key}="{value}{self.one("", "", "-wrap", " clearfix", "-1", " box")}"'
@@ -408,22 +432,45 @@ class Writer:
         return head + whole + self.one("</body></html>", "")
 
 
+MARK = ' data-truth="1"'
+
+
+def marked(page: Page) -> np.ndarray:
+    """1 for the blocks that the writer of a made-up page marked as main text."""
+    return np.array([int(MARK in a) for a in page.attrs])
+
+
 def training_pages(pages: int = 500, seed: int = 11) -> list[str]:
     writer = Writer(np.random.default_rng(seed))
     return [writer.page() for _ in range(pages)]
 
 
-@functools.cache
 def fit(pages: int = 1200, seed: int = 11) -> Boosted:
     """Boosted trees from made-up pages."""
     x, y = [], []
     for source in training_pages(pages, seed):
         page = Page(source)
         x.append(page.features())
-        y.append(np.array(page.truth))
+        y.append(marked(page))
     return Boosted().fit(np.concatenate(x), np.concatenate(y).astype(float))
 
 
+_fitted: dict[tuple[int, int], Boosted] = {}
+
+
+def fit_on_cluster(spark: SparkSession, pages: int = 1200, seed: int = 11) -> Boosted:
+    """fit() in one task of the cluster; kept by the driver, since its pages are always the same."""
+    if (pages, seed) not in _fitted:
+        ship(spark)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pages, seed))])], ["model"])
+
+        _fitted[pages, seed] = pickle.loads(spark.range(1).coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    return _fitted[pages, seed]
+
+
 def main_texts(sources: list[str | None], model: Boosted) -> Iterator[str]:
     pages = [Page(s or "") for s in sources]
     rows = [p.features() for p in pages]
@@ -439,8 +486,9 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) for every row of pages (page_id, url, html)."""
     spark = pages.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(model or fit())  # some thousand numbers
+    sent = spark.sparkContext.broadcast(model or fit_on_cluster(spark))  # some thousand numbers
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
