@@ -250,7 +250,7 @@ def test_top_k_matches_all_scores(spark):
         if data[i][0] % 50 == 0:
             scores = sorted((-int(q @ x), data[j][0]) for j, x in whole.items() if data[j][0] != data[i][0] and len(x) == len(q))
             want += [(data[i][0], k + 1, v, -s) for k, (s, v) in enumerate(scores[:5])]
-    got = topk.top_k(spark.createDataFrame(data, VECTORS), pivots=4, sample_rows=20, query_rows=2)
+    got = topk.top_k(spark.createDataFrame(data, VECTORS), pivots=4, sample_rows=20, query_rows=2, block_rows=40)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
 
 
@@ -260,14 +260,66 @@ def test_top_k_ties_and_large_numbers(spark):
     assert [r["vec_id"] for r in got] == [100, 3, 4, 5, 6]
 
 
+def depth_of(tree):
+    depth = np.zeros(len(tree.start), dtype=int)
+    for node in range(len(tree.start)):
+        kids = np.arange(tree.child[node], tree.child[node] + tree.children[node])
+        depth[kids] = depth[node] + 1
+    return int(depth.max())
+
+
 def test_cover_tree_covers():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 5)) * np.repeat([1.0, 10.0, 0.1], 1000)[:, None]
     tree = topk.CoverTree(x)
-    for node, (a, b) in enumerate(tree.span):
-        away = np.linalg.norm(x[tree.order[a:b]] - tree.centre[node], axis=1)
+    for node, (a, b) in enumerate(zip(tree.start, tree.end)):
+        away = np.linalg.norm(x[tree.order[a:b]] - x[tree.centre[node]], axis=1)
         assert away.max() <= tree.radius[node] + 1e-9
-    assert sorted(tree.order) == list(range(3000)) and len(tree.span) > 10
+        kids = np.arange(tree.child[node], tree.child[node] + tree.children[node])
+        if len(kids):
+            assert tree.start[kids[0]] == a and tree.end[kids[-1]] == b and (tree.start[kids[1:]] == tree.end[kids[:-1]]).all()
+            assert (tree.radius[kids] <= tree.radius[node] / 2 + 1e-9).all()
+            centres = x[tree.centre[kids]]
+            between = np.linalg.norm(centres[:, None] - centres[None], axis=2) + np.eye(len(kids)) * 1e9
+            assert between.min() > tree.radius[node] / 2 * (1 - 1e-9)
+    assert sorted(tree.order) == list(range(3000)) and depth_of(tree) >= 5
+
+
+def brute(queries, query_ids, points, ids, k):
+    out = {}
+    for i, q in enumerate(queries):
+        best = sorted((-float(q @ x), int(j)) for x, j in zip(points, ids) if j != query_ids[i])[:k]
+        out[i] = [(-s, j) for s, j in best]
+    return out
+
+
+@pytest.mark.parametrize(("dims", "spread", "least"), [(3, 0.05, 0.9), (64, 0.05, 0.9), (64, 2.0, 0.0)])
+def test_dual_search_prunes_and_is_exact(dims, spread, least):
+    """Groups of near vectors are pruned as wholes, in 64 dimensions too; vectors that spread evenly aren't, and come out right all the same."""
+    rng = np.random.default_rng(1)
+    middle = rng.standard_normal((60, dims))
+    make = lambda n: np.floor(256 * (middle[rng.integers(0, 60, n)] + spread * rng.standard_normal((n, dims)) / dims**0.5))
+    points, queries = make(3000), make(150)
+    ids, query_ids = np.arange(3000), np.arange(0, 1500, 10)
+    search = topk.DualSearch(points, ids, 5)
+    got = {at: list(zip(scores.tolist(), best.tolist())) for at, scores, best in search(queries, query_ids, np.full(150, -np.inf))}
+    assert got == brute(queries, query_ids, points, ids, 5)
+    assert search.pruned >= least * search.all and depth_of(search.x) >= 1
+
+
+def test_table_vectors_have_a_tree_of_levels():
+    """The table's vectors of 64 dimensions: near copies make levels below the first, and the search is exact whatever it prunes."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, np.floor(256 * np.array(v, dtype=np.float64))) for i, v in zip(*pq.read_table("/root/testdata/sf0.01/embeddings.parquet", columns=["vec_id", "embedding"]).to_pydict().values()) if taking_part(v)]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    near = np.floor(x[:40, None] + np.random.default_rng(2).uniform(-2, 2, (1, 20, x.shape[1]))).reshape(-1, x.shape[1])
+    points, all_ids = np.concatenate([x, near]), np.concatenate([ids, 10_000 + np.arange(len(near))])
+    search = topk.DualSearch(points, all_ids, 5)
+    assert depth_of(search.x) >= 2
+    got = {at: list(zip(scores.tolist(), best.tolist())) for at, scores, best in search(x[::50], ids[::50], np.full(len(x[::50]), -np.inf))}
+    assert got == brute(x[::50], ids[::50], points, all_ids, 5)
+    assert search.pruned > 0.3 * search.all
 
 
 def test_null_and_repeated_ids_lose_no_group(spark):
