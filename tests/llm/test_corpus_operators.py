@@ -293,8 +293,8 @@ def brute(queries, query_ids, points, ids, k):
     return out
 
 
-@pytest.mark.parametrize(("dims", "spread", "least"), [(3, 0.05, 0.9), (64, 0.05, 0.9), (64, 2.0, 0.0)])
-def test_dual_search_prunes_and_is_exact(dims, spread, least):
+@pytest.mark.parametrize(("dims", "spread", "most"), [(3, 0.05, 0.25), (64, 0.05, 0.4), (64, 2.0, 3.0)])
+def test_dual_search_prunes_and_is_exact(dims, spread, most):
     """Groups of near vectors are pruned as wholes, in 64 dimensions too; vectors that spread evenly aren't, and come out right all the same."""
     rng = np.random.default_rng(1)
     middle = rng.standard_normal((60, dims))
@@ -304,7 +304,7 @@ def test_dual_search_prunes_and_is_exact(dims, spread, least):
     search = topk.DualSearch(points, ids, 5)
     got = {at: list(zip(scores.tolist(), best.tolist())) for at, scores, best in search(queries, query_ids, np.full(150, -np.inf))}
     assert got == brute(queries, query_ids, points, ids, 5)
-    assert search.pruned >= least * search.all and depth_of(search.x) >= 1
+    assert search.looked <= most * search.all and depth_of(search.x) >= 1
 
 
 def test_table_vectors_have_a_tree_of_levels():
@@ -319,7 +319,7 @@ def test_table_vectors_have_a_tree_of_levels():
     assert depth_of(search.x) >= 2
     got = {at: list(zip(scores.tolist(), best.tolist())) for at, scores, best in search(x[::50], ids[::50], np.full(len(x[::50]), -np.inf))}
     assert got == brute(x[::50], ids[::50], points, all_ids, 5)
-    assert search.pruned > 0.3 * search.all
+    assert search.looked < 0.7 * search.all  # 800 of 1,300 points fall in groups of twenty
 
 
 def test_null_and_repeated_ids_lose_no_group(spark):

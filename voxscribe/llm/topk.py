@@ -115,13 +115,13 @@ class CoverTree:
 
 
 class DualSearch:
-    """The k best of a block's points for groups of queries. looked: pairs of nodes whose bound was taken; pruned: pairs of a query and a point that fell with their nodes; all: all such pairs."""
+    """The k best of a block's points for groups of queries. looked: bounds and scores taken so far; all: pairs of a query and a point so far."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, k: int, together: int = 64):
         self.x, self.k, self.together = CoverTree(points), k, together
         self.points, self.ids = points[self.x.order], ids[self.x.order]
         self.largest = np.abs(points).max()
-        self.looked = self.pruned = self.all = 0
+        self.looked = self.all = 0
 
     def __call__(self, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Place of the query, scores, ids; floor: a lower bound of each query's kth score."""
@@ -130,17 +130,22 @@ class DualSearch:
         self.exact = np.abs(queries).max() * self.largest * queries.shape[1] < EXACT
         self.best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in queries]
         self.all += len(queries) * len(self.points)
+        some = np.arange(0, len(self.points), max(1, min(16, len(self.points) // 256)))
+        self._meet(np.arange(len(queries)), some)  # for first kth scores
+        self.best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in queries]
         todo = [(np.array([0]), np.array([0]))]
         while todo:
             a, b = todo.pop()
             most = self._bounds(a, b)
             alive = most >= np.array([self.floor[i:j].min() for i, j in zip(q.start[a].tolist(), q.end[a].tolist())])[:, None]
             self.looked += alive.size
-            self.pruned += int(((q.end - q.start)[a, None] * (self.x.end - self.x.start)[b][None])[~alive].sum())
             rows, columns = alive.any(1), alive.any(0)
             if not rows.any():
                 continue
             a, b, alive, most = a[rows], b[columns], alive[np.ix_(rows, columns)], most[np.ix_(rows, columns)]
+            if len(a) > 1 and alive.mean() < 0.25:  # these query nodes have little in common
+                todo += [(a[i : i + 1], b[alive[i]]) for i in range(len(a))]
+                continue
             inner_a, inner_b = q.children[a] > 0, self.x.children[b] > 0
             if not inner_a.any() and not inner_b.any():
                 self._score(a, b[np.argsort(-most.max(0), kind="stable")])
@@ -187,6 +192,7 @@ class DualSearch:
 
     def _meet(self, rows: np.ndarray, columns: np.ndarray) -> None:
         q, x = self.queries[rows], self.points[columns]
+        self.looked += len(q) * len(x)
         if self.exact:
             s = q @ x.T
         else:
