@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import dropped, ship, written
+from voxscribe.llm.common import frugal, ship, written
 from voxscribe.llm.components import components
 
 BITS = 64
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fingerprint (long, the 64 bits as two's complement) of every row."""
     ship(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(1)], dtype=np.uint64).view(np.int64)
@@ -63,10 +64,11 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Distinct fingerprints in Gray order below nodes that hold the bits all their members share; `fanout` children a node."""
+    """Fingerprints in Gray order below nodes that hold the bits all their members share; `fanout` children a node."""
 
     def __init__(self, fps: np.ndarray, fanout: int = 8):
-        self.fps = fps[np.argsort(gray_rank(fps))]
+        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.fps = fps[self.order]
         self.fanout = fanout
         ones, zeros = self.fps, ~self.fps
         self.levels = []
@@ -124,27 +126,59 @@ def _runs(free: int, parts: int) -> list[int]:
     return [sum(1 << i for i in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _below(masks: list[int], radius: int) -> Column:
     """From a node's mask to the masks of its children; the masks of a level are fixed by the radius alone."""
-    table = F.create_map(*[F.lit(x) for m in masks for x in (_signed(m), [_signed(m | r) for r in _runs(~m & (1 << 64) - 1, radius + 1)])])
+    table = F.create_map(*[F.lit(x) for m in masks for x in (signed(m), [signed(m | r) for r in _runs(~m & (1 << 64) - 1, radius + 1)])])
     return F.explode(F.element_at(table, F.col("mask")))
 
 
-def links(fps: DataFrame, radius: int = 2, leaf_rows: int = 64) -> DataFrame:
+def below(level: DataFrame, masks: list[int], radius: int) -> tuple[DataFrame, list[int]]:
+    """level: a long column fp, a column mask (one of `masks`) and columns to carry. The same rows under each child of their node, as mask and pattern, and the children's masks."""
+    rows = level.withColumn("mask", _below(masks, radius)).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
+    children = [m | r for m in masks for r in _runs(~m & (1 << 64) - 1, radius + 1)]
+    masks = list(dict.fromkeys(children))
+    return rows if len(masks) == len(children) else rows.distinct(), masks  # one child of two nodes
+
+
+def gathered(rows: DataFrame, sizes: DataFrame, leaf_rows: int) -> DataFrame:
+    """The members of each node of `sizes` (mask, pattern, n) as a column `group` of arrays of structs; more than leaf_rows members are dealt out into several."""
+    members = [c for c in rows.columns if c not in ("mask", "pattern")]
+    block = F.pmod(F.xxhash64(*members), F.ceil(F.col("n") / leaf_rows))
+    return rows.join(sizes.hint("merge"), ["mask", "pattern"]).groupBy("mask", "pattern", block.alias("block")).agg(F.collect_list(F.struct(*members)).alias("group")).select("group")
+
+
+def leaves(level: DataFrame, masks: list[int], radius: int, leaf_rows: int) -> DataFrame:
+    """
+    The lowest nodes below those of `level` (see below(); no row twice) as a column `group` of arrays of structs: any two words within radius that share the bits of their
+    node's mask lie in one group at least, unless more than leaf_rows rows have words too near to be told apart by any cut.
+    """
+    found = None
+    while True:
+        rows, masks = below(level, masks, radius)
+        free = min(BITS - m.bit_count() for m in masks)
+        sizes = written(rows.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+        last = free <= leaf_rows.bit_length() - 1  # no node of distinct words can then hold more
+        groups = gathered(rows, sizes if last else sizes.where(F.col("n") <= leaf_rows), leaf_rows)
+        found = groups if found is None else found.union(groups)
+        if last or sizes.where(F.col("n") > leaf_rows).isEmpty():
+            return found
+        level = written(rows.join(sizes.where(F.col("n") > leaf_rows).hint("merge"), ["mask", "pattern"]).drop("pattern", "n"), "level")
+
+
+def links(fps: DataFrame, radius: int = 2, leaf_rows: int = 1024) -> DataFrame:
     """fps: distinct values in a long column fp. Returns edges u, v that join the same fingerprints as all links do: in each node of the index a forest of its links, so as many edges as fingerprints at most."""
     ship(fps.sparkSession)
-    masks, level = [0], fps.select("fp", F.lit(0).cast("long").alias("mask"))
-    found = None
 
+    @frugal
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             us, vs = [], []
             for group in b.column(0):
-                index = GrayIndex(np.array(group.values, dtype=np.int64).view(np.uint64))
+                index = GrayIndex(group.values.field("fp").to_numpy().view(np.uint64))
                 own = index.fps.view(np.int64)
                 root = forest(len(own), *index.links(radius))
                 off = root != np.arange(len(own))
@@ -153,23 +187,8 @@ def links(fps: DataFrame, radius: int = 2, leaf_rows: int = 64) -> DataFrame:
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
-    while True:
-        rows = level.select("fp", _below(masks, radius).alias("mask")).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
-        below = [m | r for m in masks for r in _runs(~m & (1 << 64) - 1, radius + 1)]
-        masks = list(dict.fromkeys(below))
-        if len(masks) < len(below):  # one child of two nodes
-            rows = rows.distinct()
-        free = min(BITS - m.bit_count() for m in masks)
-        sizes = rows.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = written(sizes, "nodes")
-        last = free <= leaf_rows.bit_length() - 1  # no node of distinct words can then hold more
-        small = rows.join(sizes if last else sizes.where(F.col("n") <= leaf_rows), ["mask", "pattern"])
-        groups = small.groupBy("mask", "pattern").agg(F.collect_list("fp").alias("fps")).select("fps")
-        edges = groups.mapInArrow(search, "u long, v long")
-        found = edges if found is None else found.union(edges)
-        if last or sizes.where(F.col("n") > leaf_rows).isEmpty():
-            return found
-        level = written(rows.join(sizes.where(F.col("n") > leaf_rows), ["mask", "pattern"]).select("fp", "mask"), "level")
+    whole = fps.select("fp", F.lit(0).cast("long").alias("mask"))
+    return leaves(whole, [0], radius, leaf_rows).mapInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
@@ -182,14 +201,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(ids, "component").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs for each group of near-duplicates: the one of the least id; any of those where ids repeat or are all null."""
-    row = "voxscribe_row"
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # fixes the numbers
-    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(row), "component_id")
-    ids = rows.select(row, F.col("doc_id").cast("long").alias("id"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(row)))
-    kept = written(groups.join(ids, row).groupBy("component_id").agg(first.alias("first")).select(F.col("first")[row].alias(row)), "kept")
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
