@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from voxscribe.llm import embedding_dedup, html_text, licenses, lm, mixing, packing, quality, simhash, topk, toxicity
+from voxscribe.llm import embedding_dedup, html_text, licenses, lm, mixing, near_copies, packing, quality, simhash, topk, toxicity
 from voxscribe.llm.components import components
 from voxscribe.llm.queries import vocabulary_files
 
@@ -182,9 +182,74 @@ def test_simhash_groups_match_all_pairs(docs, empty):
     want = sorted(((r[0], f"{fps[i]:016x}", least[root[i]]) for i, r in enumerate(rows())), key=key)
     assert sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=key) == want
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({w[2] for w in want if w[2] is not None and w[2] in [x[0] for x in want]})
+
+
+def edited(rng, words, changes):
+    words = list(words)
+    for at in rng.sample(range(len(words)), changes):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return words
+
+
+def all_pairs_groups(texts):
+    """The least place that links of similarity 0.8 reach from each text, by comparing all pairs."""
+    sets = [near_copies.shingles(t, 5) for t in texts]
+    n = len(texts)
+    root = unite(range(n), [(i, j) for i in range(n) for j in range(i) if near_copies.jaccard(sets[i], sets[j]) >= 0.8])
+    least = {}
+    return [least.setdefault(root[i], i) for i in range(n)]
+
+
+def test_near_copies_match_all_pairs(spark):
+    """Groups of copies with some words changed, chains of copies of copies, short and empty texts, repeats."""
+    rng = random.Random(3)
+    texts = [None, "", " ", "one", "ONE", "one two three four", "one two three four five", "one two three four five six"]
+    for k in range(60):
+        words = sentence(rng, rng.choice([8, 40, 150, 600])).split()
+        texts += [" ".join(words)] * (1 + k % 2)
+        for _ in range(rng.randrange(4)):
+            words = edited(rng, words, rng.randrange(1, 1 + len(words) // 40 + 1))
+            texts.append(" ".join(words))
+    want = all_pairs_groups(texts)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    got = {r["id"]: r["component"] for r in near_copies.groups(rows).collect()}
+    assert len(got) == len(texts) and all(want[i] == want[c] for i, c in got.items())  # nothing is joined that shouldn't be
+    wrong = sum(got[i] != got[want[i]] for i in got)
+    assert wrong <= 0.02 * len(texts)
+    assert near_copies.groups(rows.where("false")).count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    """A third of the rows are copies of one text, each edited in another place: one group, and the others stay apart."""
+    rng = random.Random(4)
+    words = sentence(rng, 120).split()
+    texts = [" ".join(edited(rng, words, 1)) for _ in range(1500)] + [sentence(rng, 60) for _ in range(500)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    got = {r["id"]: r["component"] for r in near_copies.groups(rows).collect()}
+    assert {got[i] for i in range(1500)} == {0} and all(got[i] == i for i in range(1500, 2000))
+
+
+def test_sketches_of_a_text_do_not_depend_on_its_neighbours():
+    texts = [r[1] for r in rows()]
+    digests, marks, words = near_copies.Sketcher(5)(texts)
+    for i, t in enumerate(texts):
+        d, m, w = near_copies.Sketcher(5)([t])
+        assert d[0] == digests[i] and m[0] == marks[i] and w[0].tolist() == words[i].tolist()
+    bits = np.array([[h >> k & 1 for k in range(64)] for h in lm.mixed(shingle_hashes(texts[0]) + np.uint64(1)).tolist()])
+    assert marks[0] == sum(1 << k for k in range(64) if 2 * bits[:, k].sum() > len(bits))
+
+
+def shingle_hashes(text):
+    """The hash of each distinct five-word shingle, one after the other."""
+    import xxhash
+
+    words, out = text.encode().lower().split(), set()
+    for i in range(len(words) - 4):
+        h = 0
+        for w in words[i : i + 5]:
+            h = (h * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(w)) % 2**64
+        out.add(h)
+    return np.unique(lm.mixed(np.array(sorted(out), dtype=np.uint64)))
 
 
 def test_simhash_links_of_crowded_fingerprints(spark):
@@ -325,7 +390,7 @@ def test_table_vectors_have_a_tree_of_levels():
 def test_null_and_repeated_ids_lose_no_group(spark):
     texts = [sentence(random.Random(i), 60) for i in range(6)]
     docs = spark.createDataFrame([*((None, t) for t in texts[:3]), *((7, t) for t in texts[3:]), (3, texts[0]), (None, texts[1])], "doc_id long, text string")
-    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(docs).collect()), key=key)
+    kept = sorted(((r["doc_id"], r["text"]) for r in near_copies.one_of_each(docs).collect()), key=key)
     assert kept == sorted([(3, texts[0]), (None, texts[1]), (None, texts[2]), *((7, t) for t in texts[3:])], key=key)
 
 

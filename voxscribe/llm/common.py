@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from voxscribe import shipping
 
-__all__ = ["dropped", "fold", "frugal", "id_text", "shared_dir", "ship", "table", "written"]
+__all__ = ["columns", "dropped", "fold", "frugal", "id_text", "lasting", "shared_dir", "ship", "table", "written"]
 BATCH_BYTES = 4 << 20
 
 
@@ -53,12 +53,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a folder of this machine only where that is unset (local runs)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="voxscribe-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet into the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -70,17 +76,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lasting(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of make() as written() gives it; the tables that make() wrote on the way are deleted."""
+    _scopes.append([])
+    try:
+        df = make()
+    except BaseException:
+        _scopes.pop()
+        raise
+    paths = _scopes.pop()
+    out = written(df, name)
+    for path in paths:
+        _delete(df.sparkSession, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for parent in {os.path.dirname(f) for f in df.inputFiles()}:
         if "voxscribe-" in parent:
-            at = jvm.org.apache.hadoop.fs.Path(parent)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, parent)
+
+
+def columns(df: DataFrame, of: str = "") -> list[Column]:
+    """All columns of df by their quoted names, or the fields of that name of a struct column `of`."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return [F.col(f"{of}.{q}" if of else q).alias(c) for q, c in zip(quoted, df.columns)]
 
 
 def id_text(column: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxscribe.llm.common import fold, ship
+from voxscribe.llm.common import columns, fold, frugal, ship
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, max_rows: int, max_chars: int) -> DataFrame:
@@ -36,6 +36,7 @@ def fitted(sample: DataFrame, train: Callable[[np.ndarray, list[str], list[str |
     """The arrays that `train` makes of the sample's labels, texts and languages, in one task; None if the sample is empty."""
     ship(sample.sparkSession)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(((o, t, y, g) for b in batches for y, t, g, o in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[:3])
         if rows:
@@ -68,12 +69,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[str | None]], np.ndarray]], carry: bool, chars: int = 2_000_000) -> DataFrame:
     """score, doc_id and lang of every row of docs, whole texts in groups of about `chars`; carry: the whole row as well, as `row`. scorer makes a worker's scoring function."""
     ship(docs.sparkSession)
-    text = F.struct(*docs.columns).alias("row") if carry else F.col("text")
+    text = F.struct(*columns(docs)).alias("row") if carry else F.col("text")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(text, F.col("doc_id").cast("long"), lang.alias("lang"))
     kept = rows if carry else rows.drop("text")
     names = ["score", *kept.columns]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
         for b in batches:

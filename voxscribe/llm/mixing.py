@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import id_text, written
+from voxscribe.llm.common import columns, id_text, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 def sized(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataFrame:
     """doc_id, source, size and the seeded digest that orders and deals out the documents; carry: the whole row as well, as `row`."""
     return docs.select(
-        *[F.struct(*docs.columns).alias("row")] * carry,
+        *[F.struct(*columns(docs)).alias("row")] * carry,
         F.col("doc_id").cast("long"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -146,7 +146,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 16, **options) -> DataFr
     rows = rows.withColumn("words", F.when(F.col("round") > F.col("times"), words)).where("words is null or size(words) > 0")
     text = F.when(F.col("words").isNull() | (F.size("words") == F.col("size")), F.col("row.text")).otherwise(F.array_join("words", " "))
     new = {"text": text} | {"n_chars": F.length(text).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
-    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return rows.select(*[new[c].alias(c) if c in new else kept for c, kept in zip(docs.columns, columns(docs, "row"))])
 
 
 def _apportion_sql(name: str, rows: str, parent: str, child: str, weight: str, house: str) -> str:

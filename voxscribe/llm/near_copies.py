@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import frugal, ship, written
+from voxscribe.llm.common import frugal, lasting, ship, written
 from voxscribe.llm.components import components
 from voxscribe.llm.lm import mixed
 from voxscribe.llm.simhash import GrayIndex, below, gathered, leaves, signed
@@ -258,7 +258,7 @@ def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     marked = written(sketches(rows, width), "sketches")
     copies = marked.groupBy("digest").agg(F.min("id").alias("rep"))
     named = written(marked.join(copies.hint("merge"), "digest").select("id", "rep", "mark", "words"), "named")
-    left = written(candidates(named.where("id = rep").drop("rep")), "candidates")
+    left = lasting("candidates", lambda: candidates(named.where("id = rep").drop("rep")))
     ends = left.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     texts = written(rows.select("id", "text").join(ends.hint("merge"), "id", "left_semi"), "texts")
     links, found = None, None
@@ -266,7 +266,7 @@ def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
         chosen = written(_nearest(left, ends) if ends else left.select("u", "v"), "chosen")
         good = written(verified(chosen, texts, width, similar), "links")
         links = good if links is None else links.union(good)
-        found = written(components(links), "components")
+        found = lasting("components", lambda: components(links))
         if ends is None or left.isEmpty():
             break
         of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
@@ -282,7 +282,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFr
     while row in docs.columns:
         row += "_"
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # fixes the numbers
-    found = groups(rows.select(F.col(row).alias("id"), "text"), width, similar)
+    found = lasting("groups", lambda: groups(rows.select(F.col(row).alias("id"), "text"), width, similar))
     ids = rows.select(F.col(row).alias("id"), F.col("doc_id").cast("long").alias("doc"))
     first: Column = F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("id")))
     kept = written(found.join(ids.hint("merge"), "id").groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias(row)), "kept")

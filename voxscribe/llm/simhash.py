@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxscribe.llm.common import frugal, ship, written
+from voxscribe.llm.common import frugal, lasting, ship, written
 from voxscribe.llm.components import components
 
 BITS = 64
@@ -194,10 +194,13 @@ def links(fps: DataFrame, radius: int = 2, leaf_rows: int = 1024) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits) and component_id (the least doc_id reachable over links) for every row of docs (doc_id, text)."""
     marks = written(fingerprints(docs, width, seed), "fingerprints")
-    own = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    joined = components(written(links(own, radius), "links"))
-    nodes = own.join(joined, own.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    nodes = written(nodes, "nodes")
+
+    def joined() -> DataFrame:
+        own = written(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        found = components(written(links(own, radius), "links"))
+        return own.join(found, own.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+
+    nodes = lasting("nodes", joined)
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = nodes.join(ids, "component").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
