@@ -9,30 +9,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxscribe.llm import mixing, packing, quality, simhash, toxicity
-from voxscribe.llm.common import table, written
+from voxscribe.llm import mixing, near_copies, packing, quality, toxicity
+from voxscribe.llm.common import columns, table, written
 from voxscribe.llm.queries import vocabulary_files
 
 
-def _whole(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[rows["row"].getField(c).alias(c) for c in docs.columns])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
     out = toxicity.classify(docs, table(spark, sf_dir, "labels"), carry=True)
-    return _whole(out.where("not rejected"), docs)
+    return out.where("not rejected").select(*columns(docs, "row"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     out = quality.classify(docs, table(spark, sf_dir, "labels"), carry=True)
-    return _whole(out.where("predicted = 1"), docs)
+    return out.where("predicted = 1").select(*columns(docs, "row"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
