@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voxscribe.functions import compare, decode, gate, numbers, score, temporal
+from voxscribe.functions import baseline, compare, decode, gate, numbers, score, temporal
 from voxscribe.functions.realize import KINDS, candidates, kinds_of, realize, realize_options
 from voxscribe.plans.candidates import normalize_text, reading_of
 
@@ -115,8 +115,29 @@ def test_gate_loses_no_candidate():
     rng = random.Random(1)
     for _ in range(300):
         text = " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(1, 8)))
-        at = decode.tokens(text)
-        assert decode.build_candidates(text) == decode.build_candidates(text, reading_of, None, gate.masks([text[a:b] for a, b in at], text)), text
+        assert decode.build_candidates(text) == decode.build_candidates(text, lambda span, kinds: candidates(span, kinds_of(kinds)), gate.runs), text
+        for i, j, kinds in gate.runs(text, at := decode.tokens(text)):
+            span = text[at[i][0] : at[j - 1][1]]
+            assert candidates(span, kinds_of(kinds)) == reading_of(span), (text, span)
+
+
+LONG = ["thirty filler words go here " * 6 + "code " + "eight " * 40 + "end", "h t t p s colon slash slash w w w dot " + "a b c d e f g h " * 6 + "dot com slash path now", "one two " * 100, "the doctor saw " + "two three five " * 20]
+
+
+def test_long_runs_have_the_candidates_of_full_enumeration():
+    """Runs of over thirty tokens in texts of over sixty, with every run of tokens read."""
+    for text in LONG:
+        gated = decode.build_candidates(text, lambda span, kinds: candidates(span, kinds_of(kinds)), gate.runs)
+        memo = {}
+        full = decode.build_candidates(text, lambda span, _: memo[span] if span in memo else memo.setdefault(span, candidates(span)))
+        assert gated == full
+    assert "8" * 40 in normalize_text(LONG[0])["text"]
+    assert "8" * 40 in baseline.normalize_sentence(LONG[0])
+
+
+def test_zero_denominators_are_unreadable():
+    for text in ("1/0", "0/0", "1 0/0", "5/0 m", "1/0%", "1/0,000 kg"):
+        assert not compare.equivalent("MEASUREMENT", text, "1 m") and compare.equivalent("MEASUREMENT", text, text)
 
 
 def test_candidates_keep_their_invariants():

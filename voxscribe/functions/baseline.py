@@ -10,22 +10,28 @@ from voxscribe.functions.dates import MONTHS
 from voxscribe.functions.realize import KINDS, candidates
 
 ORDER = ["WHITELIST", "MONEY", "TIME", "DATE", "MEASUREMENT", "ELECTRONIC", "PHONE", "ORDINAL", "DECIMAL", "CARDINAL", "WORD", "DIGIT_SEQUENCE"]
-LONGEST = 16
 
 
 def normalize_sentence(text: str) -> str:
-    """Left to right, the longest span that any kind reads, as the first kind of the order."""
+    """Left to right, the longest span that any kind reads, as the first kind of the order; an abbreviated phrase is a span by itself."""
     at = decode.tokens(text)
-    masks = gate.masks([text[a:b] for a, b in at], text)
+    words = [text[a:b] for a, b in at]
+    masks, ends = gate.masks(words, text), gate.address_ends(words)
+    place = {b: j for j, (_, b) in enumerate(at, 1)}
     chosen, i = [], 0
     while i < len(at):
-        for j in range(min(len(at), i + LONGEST), i, -1):
-            allowed = gate.ALL
-            for m in masks[i:j]:
-                allowed &= m
+        runs, left = [], gate.ALL & ~gate.BIT["WHITELIST"]
+        for j in range(i, len(at)):
+            left &= masks[j] if j < ends[i] else masks[j] & ~gate.BIT["ELECTRONIC"]
+            if not left:
+                break
+            runs.append((j + 1, [k for k in ORDER if left & gate.BIT[k]]))
+        phrase = gate.PHRASES.match(text, at[i][0])
+        if phrase and phrase.end() in place:
+            runs.append((place[phrase.end()], ["WHITELIST"]))
+        for j, kinds in sorted(runs, key=lambda r: -r[0]):
             span = text[at[i][0] : at[j - 1][1]]
-            kinds = [k for k in ORDER if allowed & gate.BIT[k] and (k != "WHITELIST" or gate.PHRASES.fullmatch(span))]
-            found = candidates(span, kinds) if kinds else []
+            found = candidates(span, kinds)
             if found:
                 best = min(found, key=lambda c: min(ORDER.index(k) for k in ORDER if c[1] >> KINDS.index(k) & 1))
                 chosen.append(decode.Candidate(i, j, at[i][0], at[j - 1][1], span, *best))

@@ -176,18 +176,26 @@ VULGAR = {"½": Fraction(1, 2), "⅓": Fraction(1, 3), "⅔": Fraction(2, 3), "
 
 
 def surface(text: str) -> tuple[str, str] | None:
-    """Value (with its sign, to twelve places) and unit of a written measurement."""
+    """Value (with its sign, to twelve places) and unit of a written measurement; null where it can't be read, as with a denominator of zero."""
     text = text.strip()
     m = re.match(r"([+-]?)\s*([0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)?\s?((?:[½⅓⅔¼¾⅕⅛])|(?:[0-9]+/[0-9]+(?:,[0-9]{3})*))?", text)
     sign, whole, part = m[1], m[2], m[3]
     rest = text[m.end() :]
     if whole and not part and (n := re.match(r"\s?/\s?([0-9]+(?:,[0-9]{3})*)(?![0-9])", rest)):
-        value, rest = Fraction(whole.replace(",", "")) / int(n[1].replace(",", "")), rest[n.end() :]
+        below = int(n[1].replace(",", ""))
+        if not below:
+            return None
+        value, rest = Fraction(whole.replace(",", "")) / below, rest[n.end() :]
     elif whole or part:
         value = Fraction(whole.replace(",", "")) if whole else Fraction(0)
-        if part:
+        if part in VULGAR:
+            value += VULGAR[part]
+        elif part:
             top, _, bottom = part.partition("/")
-            value += VULGAR[part] if part in VULGAR else Fraction(int(top), int(bottom.replace(",", "")))
+            below = int(bottom.replace(",", ""))
+            if not below:
+                return None
+            value += Fraction(int(top), below)
     else:
         value = None
     mark = _written(rest.strip())

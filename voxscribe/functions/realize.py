@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
 from voxscribe.functions import clock, dates, measure, money, words
 from voxscribe.functions import numbers as n
 
 #: Kinds in the order of their bits in a mask.
 KINDS = ["DIGIT_SEQUENCE", "CARDINAL", "TIME", "DATE", "MONEY", "DECIMAL", "PHONE", "ELECTRONIC", "MEASUREMENT", "ORDINAL", "PUNCTUATION", "WHITELIST", "WORD"]
 
+PLACE = {k: 1 << i for i, k in enumerate(KINDS)}
+
 REALIZERS = {
     "DIGIT_SEQUENCE": lambda t: n.digit_sequence(t) or n.grouped_digits(t),
     "CARDINAL": n.cardinal,
@@ -49,13 +53,16 @@ def realize_options(kind: str, text: str | None) -> list[str]:
 
 def candidates(text: str | None, kinds: list[str] = KINDS) -> list[tuple[str, int]]:
     """(replacement, mask of kinds) of every reading that changes the text, equal replacements merged, sorted."""
+    if not text or text.isspace():
+        return []
     merged: dict[str, int] = {}
     for kind in kinds:
-        for out in realize_options(kind, text):
-            if out != text:
-                merged[out] = merged.get(out, 0) | 1 << KINDS.index(kind)
+        for out in n.cardinal_options(text) if kind == "CARDINAL" else (REALIZERS[kind](text),):
+            if out is not None and out != text:
+                merged[out] = merged.get(out, 0) | PLACE[kind]
     return sorted(merged.items())
 
 
+@functools.cache
 def kinds_of(mask: int) -> list[str]:
     return [k for i, k in enumerate(KINDS) if mask >> i & 1]
