@@ -93,6 +93,20 @@ def kind_names(mask: Column | str) -> Column:
     return F.filter(F.array(*map(F.lit, kinds.KINDS)), lambda k, i: F.getbit(_col(mask).cast("int"), i) == 1)
 
 
+def kind_flags(mask: Column | str) -> Column:
+    """A mask as an array of 13 numbers, 1 where the kind is set, native."""
+    return F.transform(F.sequence(F.lit(0), F.lit(len(kinds.KINDS) - 1)), lambda i: F.getbit(_col(mask).cast("int"), i).cast("float"))
+
+
+def aligned_tokens(offsets: Column | str, start: Column | str, end: Column | str) -> Column:
+    """struct<first, end>: the encoder tokens (array of structs start, end in order) that overlap characters start to end, or null unless they cover them all. Native."""
+    o, a, b = _col(offsets), _col(start), _col(end)
+    hit = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (F.element_at(o, i + 1)["start"] < b) & (F.element_at(o, i + 1)["end"] > a))
+    first, last = F.element_at(hit, 1), F.element_at(hit, -1)
+    covered = (F.element_at(o, first + 1)["start"] <= a) & (F.element_at(o, last + 1)["end"] >= b)
+    return F.when((F.size(o) > 0) & (F.size(hit) > 0) & covered, F.struct(first.alias("first"), (last + 1).alias("end")))
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions realize_<kind>(text), realize_candidates(text), equivalent_<kind>(a, b), named_date(text, year) and numeric_date(text, order, year)."""
     ship(spark)

@@ -8,7 +8,10 @@ start, category, replacement and the kind's name in span_kind), and prediction.
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,21 +105,67 @@ def score_row(text: str, expected: str, prediction: str, spans: list[dict]) -> d
     return {"strict_exact": exact, "entities_correct": right, "entities_total": len(spans), "entity_correct": every, "decision_correct": decision, "error_type": error, "predicted_entities": got or []}
 
 
+#: Kinds that have a comparator; all others are compared as they stand.
+COMPARED = set(compare.KINDS)
+
+
+def semantic_kind(kind: Column) -> Column:
+    """A span's kind where its values are compared by meaning, else null."""
+    return F.when(kind.isin(*sorted(COMPARED)), kind)
+
+
 SCORED = "struct<strict_exact:boolean,entities_correct:int,entities_total:int,entity_correct:boolean,decision_correct:boolean,error_type:string,predicted_entities:array<string>>"
 
 
+ARROW_SCORED = pa.struct([("strict_exact", pa.bool_()), ("entities_correct", pa.int32()), ("entities_total", pa.int32()), ("entity_correct", pa.bool_()), ("decision_correct", pa.bool_()), ("error_type", pa.string()), ("predicted_entities", pa.list_(pa.string()))])
+
+
+def failed_row(spans: list[dict]) -> dict:
+    """The score of a row whose prediction failed."""
+    return {"strict_exact": False, "entities_correct": 0, "entities_total": len(spans), "entity_correct": False, "decision_correct": False, "error_type": "backend_error", "predicted_entities": None}
+
+
 def scored(rows: DataFrame) -> DataFrame:
-    """The rows with their kind and the fields of score_row."""
+    """The rows with their kind and the fields of score_row; a column error marks predictions that failed."""
     ship(rows.sparkSession)
 
-    @F.udf(SCORED)
-    def run(text, expected, prediction, spans):
-        return score_row(text, expected, prediction, [s.asDict() for s in spans or []])
+    @F.arrow_udf(SCORED)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, wanted, predictions, spans, errors in batches:
+            rows = zip(*(x.to_pylist() for x in (texts, wanted, predictions, spans, errors)))
+            yield pa.array([score_row(t, w, p, s or []) if e is None else failed_row(s or []) for t, w, p, s, e in rows], ARROW_SCORED)
 
-    out = rows.withColumn("kind", row_kind(F.col("spans"))).withColumn("_s", run("text", "expected_text", "prediction", "spans"))
+    error = F.col("error").cast("string") if "error" in rows.columns else F.lit(None).cast("string")
+    out = rows.withColumn("kind", row_kind(F.col("spans"))).withColumn("_s", run("text", "expected_text", "prediction", "spans", error))
     return out.select("*", "_s.*").drop("_s")
 
 
+def predicted(rows: DataFrame, backend: Callable[[], Callable[[str], str]], warm: tuple[str, ...] = ("warm up at five thirty", "call nine one one"), rounds: int = 5) -> DataFrame:
+    """
+    The rows with prediction, latency_ms and error. backend makes a worker's function from text to text; it is warmed up before
+    the first row, and a row where it raises has an empty prediction and the error, for the others to go on.
+    """
+    ship(rows.sparkSession)
+
+    @F.arrow_udf("struct<prediction:string,latency_ms:double,error:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        normalize = backend()
+        for text in warm * rounds:
+            normalize(text)
+        for b in batches:
+            out = []
+            for text in b.to_pylist():
+                began, said, error = time.perf_counter_ns(), "", None
+                try:
+                    said = normalize(text)
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                out.append({"prediction": said, "latency_ms": (time.perf_counter_ns() - began) / 1e6, "error": error})
+            yield pa.array(out, pa.struct([("prediction", pa.string()), ("latency_ms", pa.float64()), ("error", pa.string())]))
+
+    return rows.withColumn("_p", run("text")).select(*rows.columns, "_p.*")
+
+
 def metric_columns() -> list[Column]:
     n = F.count("*")
     share = lambda c: F.try_divide(F.sum(F.col(c).cast("int")), n)
@@ -142,6 +191,32 @@ def sliced(rows: DataFrame) -> DataFrame:
     return out.unionByName(by.withColumnRenamed("category", "value").withColumn("slice", F.lit("category")))
 
 
+def subsets(rows: DataFrame) -> DataFrame:
+    """Metrics of the rows of several spans, of voice agents, of negatives and of no span, and of each collision family; in one pass, a row counting in each subset that has it."""
+    named = {"multi_entity": F.size("spans") > 1, "voice_agent": F.col("group") == "voice_agent", "standalone_negative_keep": F.col("group") == "negative", "all_no_span_keep": F.size("spans") == 0}
+    flags = [F.when(where, F.struct(F.lit("subset").alias("slice"), F.lit(name).alias("value"))) for name, where in named.items()]
+    family = F.when(F.col("collision") != "", F.struct(F.lit("collision_family").alias("slice"), F.col("collision").alias("value")))
+    return rows.withColumn("_in", F.explode(F.array_compact(F.array(*flags, family)))).select("*", "_in.*").groupBy("slice", "value").agg(*metric_columns())
+
+
+def audit(left: DataFrame, right: DataFrame, key: str = "id", column: str = "prediction") -> DataFrame:
+    """
+    One row that tells whether two runs predict the same: rows, identical_rows, mismatches, rows that only one side has, and a digest of each side that depends on
+    every key and prediction but not on their order. Keys must not repeat; mismatches() lists the rows.
+    """
+    digest = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.xxhash64(F.col(key), F.col(c)).cast("decimal(38,0)"))).alias(f"{c}_digest")
+    both = left.select(key, F.col(column).alias("left")).join(right.select(key, F.col(column).alias("right")), key, "full")
+    same = F.col("left").isNotNull() & (F.col("left") == F.col("right"))
+    n = lambda where: F.coalesce(F.sum(where.cast("long")), F.lit(0)).alias
+    return both.agg(F.count("*").alias("rows"), n(same)("identical_rows"), n(F.col("left") != F.col("right"))("mismatches"), n(F.col("left").isNull() != F.col("right").isNull())("one_sided"), digest("left"), digest("right"))
+
+
+def mismatches(left: DataFrame, right: DataFrame, key: str = "id", column: str = "prediction") -> DataFrame:
+    """key, left and right of every row where two runs differ, or that one of them lacks."""
+    both = left.select(key, F.col(column).alias("left")).join(right.select(key, F.col(column).alias("right")), key, "full")
+    return both.where(~F.col("left").eqNullSafe(F.col("right")))
+
+
 def collision_pairs(rows: DataFrame, pair: str = "collision_pair_id", family: str = "collision") -> DataFrame:
     """By family: pairs, and pairs whose rows are all exact or all right in meaning."""
     pairs = rows.where(F.col(pair).isNotNull()).groupBy(family, pair).agg(F.bool_and("strict_exact").alias("exact"), F.bool_and("entity_correct").alias("same"))

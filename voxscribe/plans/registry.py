@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxscribe import operators
-from voxscribe.functions import columns, spell
+from voxscribe.functions import baseline, columns, spell
 from voxscribe.plans import candidates, evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,9 +163,26 @@ def normalize_orders(spark, sf_dir):
     return candidates.normalized(_orders_spoken(spark, sf_dir)).select("o_orderkey", "normalized")
 
 
-@_query("SELECT o_orderkey, count(*) AS n FROM orders GROUP BY o_orderkey")
+#: "code" and two digits: the first, the second and both together read as numbers; both together as 73 and as the time 07:03.
+PAIR = "o_orderkey % 9 + 1"
+
+
+@_query(
+    f"""WITH t AS (SELECT o_orderkey, CAST({PAIR} AS VARCHAR) AS a, CAST(o_orderkey % 7 + 1 AS VARCHAR) AS b FROM orders)
+    SELECT o_orderkey, 1 AS token_start, 2 AS token_end, 5 AS char_start, a AS replacement, 35 AS kind_mask FROM t
+    UNION ALL SELECT o_orderkey, 2, 3, 6 + CAST(CASE a WHEN '3' THEN 5 WHEN '7' THEN 5 WHEN '8' THEN 5 WHEN '4' THEN 4 WHEN '5' THEN 4 WHEN '9' THEN 4 ELSE 3 END AS INTEGER), b, 35 FROM t
+    UNION ALL SELECT o_orderkey, 1, 3, 5, a || b, 35 FROM t UNION ALL SELECT o_orderkey, 1, 3, 5, '0' || a || ':0' || b, 4 FROM t"""
+)
 def candidate_graph(spark, sf_dir):
-    """The relational plan over all orders: exactly one candidate takes the whole spoken number and writes it digit by digit."""
+    """The relational plan over all orders: every candidate of a two-digit code, with its place and kinds."""
+    two = spell.digits(F.concat(F.expr(PAIR).cast("string"), F.expr("o_orderkey % 7 + 1").cast("string")))
+    t = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("code "), two).alias("text"))
+    return candidates.candidates(t, "o_orderkey").select("o_orderkey", "token_start", "token_end", "char_start", "replacement", "kind_mask")
+
+
+@_query("SELECT o_orderkey, count(*) AS n FROM orders GROUP BY o_orderkey")
+def whole_candidates(spark, sf_dir):
+    """The relational plan: exactly one candidate takes the whole spoken number and writes it digit by digit."""
     t = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("code "), spell.digits(F.col("o_orderkey").cast("string"))).alias("text"))
     found = candidates.candidates(t, "o_orderkey")
     whole = found.where((F.col("replacement") == F.col("o_orderkey").cast("string")) & (F.col("token_start") == 1) & (F.getbit("kind_mask", F.lit(0)) == 1))
@@ -203,19 +220,41 @@ def named_dates(spark, sf_dir):
     return t.select("o_orderkey", columns.named_date(F.date_format("o_orderdate", "EEEE, MMMM d, yyyy"), year).alias("full_date"), columns.named_date(F.date_format("o_orderdate", "MMM d"), year).alias("this_year"))
 
 
-@_query("SELECT o_orderkey, true AS money, true AS day, true AS number, false AS other_number, true AS ordinal FROM orders")
+#: For each comparator two written forms of the same number of cents, of the day or of the key, and one that differs in a share of the rows; the expected answer in SQL.
+SAME = "o_orderkey % 3 > 0"
+
+
+@_query(
+    f"""WITH t AS (SELECT o_orderkey, {CENTS} AS c, day(o_orderdate) AS d, month(o_orderdate) AS m, {SAME} AS same FROM orders)
+    SELECT o_orderkey, same AS money, same AS day, same AS number, same OR d = m AS swapped_day, same AS ordinal, same AS digits, same AS decimal, same AS phone, same AS measure, same AS clock, same AND c % 100 = 0 AS whole FROM t"""
+)
 def equivalences(spark, sf_dir):
-    t, cents = _table(spark, sf_dir, "orders"), _cents("o_totalprice")
-    key = F.col("o_orderkey").cast("string")
-    grouped = F.format_number(F.col("o_orderkey"), 0)
+    """All nine comparators; a third of the rows compare with another value."""
+    t, cents, key = _table(spark, sf_dir, "orders"), _cents("o_totalprice"), F.col("o_orderkey")
+    other = F.when(F.expr(SAME), 0).otherwise(1)
     amount = F.format_number(cents / 100, 2)
+    plain = lambda c: F.replace(F.format_number(c / 100, 2), F.lit(","), F.lit(""))
+    day, month = F.dayofmonth("o_orderdate"), F.month("o_orderdate")
+    ending = lambda n: F.when((n % 100).isin(11, 12, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    ten = lambda n: F.lpad(n.cast("string"), 10, "2")
+    grouped = lambda d: F.concat(F.substring(d, 1, 3), F.lit("-"), F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4))
+    bracketed = lambda d: F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3), F.lit(" "), F.substring(d, 7, 4))
+    clock = lambda mark: F.concat(F.lpad((key % 24).cast("string"), 2, "0"), F.lit(mark), F.lpad((key % 59).cast("string"), 2, "0"))
+    later = F.concat(F.lpad((key % 24).cast("string"), 2, "0"), F.lit("."), F.lpad((key % 59 + other).cast("string"), 2, "0"))
+    same = columns.representations_equivalent
     return t.select(
         "o_orderkey",
-        columns.representations_equivalent("MONEY", F.concat(F.lit("$"), F.replace(amount, F.lit(","), F.lit(""))), F.concat(F.lit("USD "), amount)).alias("money"),
-        columns.representations_equivalent("DATE", F.date_format("o_orderdate", "d MMMM yyyy"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
-        columns.representations_equivalent("CARDINAL", key, grouped).alias("number"),
-        columns.representations_equivalent("CARDINAL", key, (F.col("o_orderkey") + 1).cast("string")).alias("other_number"),
-        columns.representations_equivalent("ORDINAL", F.concat(F.dayofmonth("o_orderdate"), F.when(F.dayofmonth("o_orderdate").isin(1, 21, 31), "st").when(F.dayofmonth("o_orderdate").isin(2, 22), "nd").when(F.dayofmonth("o_orderdate").isin(3, 23), "rd").otherwise("th")), spell.ordinal(F.dayofmonth("o_orderdate"))).alias("ordinal"),
+        same("MONEY", F.concat(F.lit("$"), plain(cents + other)), F.concat(F.lit("USD "), amount)).alias("money"),
+        same("DATE", F.date_format("o_orderdate", "d MMMM yyyy"), F.date_format(F.date_add("o_orderdate", other), "yyyy-MM-dd")).alias("day"),
+        same("CARDINAL", key.cast("string"), F.format_number(key + other, 0)).alias("number"),
+        same("DATE", F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.expr(SAME), F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.concat_ws("-", F.year("o_orderdate"), day, month))).alias("swapped_day"),
+        same("ORDINAL", F.concat(day + other, ending(day + other)), spell.ordinal(day)).alias("ordinal"),
+        same("DIGIT_SEQUENCE", F.concat((key + 100 + other).cast("string")), F.concat(F.substring((key + 100).cast("string"), 1, 2), F.lit("-"), F.substring((key + 100).cast("string"), 3, 20))).alias("digits"),
+        same("DECIMAL", F.concat(plain(cents + other)), F.concat(plain(cents), F.lit("0"))).alias("decimal"),
+        same("PHONE", bracketed(ten(key + other)), grouped(ten(key))).alias("phone"),
+        same("MEASUREMENT", F.concat(key + other, F.lit(" km/h")), F.concat(key, F.lit(" kilometers per hour"))).alias("measure"),
+        same("TIME", clock(":"), later).alias("clock"),
+        same("MONEY", F.concat(F.lit("$"), F.expr("cast(round(o_totalprice * 100) as bigint) div 100").cast("string")), F.concat(F.lit("$"), plain(cents + other))).alias("whole"),
     )
 
 
@@ -228,13 +267,115 @@ def latency_metrics(spark, sf_dir):
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "deviation", "least", "most", "p50", "p90", "p95", "p99")])
 
 
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """
+    Evaluation rows made of the orders: the key in words, read as a number; every fifth has no entity, every seventh has two. Predictions leave the text as it is where the key
+    is divisible by 4, put another number where it is divisible by 6, and are right elsewhere; those of keys divisible by 11 failed.
+    """
+    k = F.col("o_orderkey")
+    t = _table(spark, sf_dir, "orders").withColumn("spoken", spell.cardinal(k))
+    spoken, written = F.col("spoken"), k.cast("string")
+    plain, two = k % 5 == 0, (k % 7 == 0) & (k % 5 != 0)
+    text = F.when(plain, F.lit("nothing to write here")).when(two, F.concat(F.lit("from "), spoken, F.lit(" to "), spoken)).otherwise(F.concat(F.lit("pick "), spoken))
+    line = lambda n: F.when(plain, F.lit("nothing to write here")).when(two, F.concat(F.lit("from "), n, F.lit(" to "), n)).otherwise(F.concat(F.lit("pick "), n))
+    span = lambda at: F.struct(F.lit(at).alias("start"), F.lit("CARDINAL").alias("category"), written.alias("replacement"), F.lit("CARDINAL").alias("span_kind"))
+    wrong = line((k + 1).cast("string"))
+    return t.select(
+        k.alias("id"),
+        text.alias("text"),
+        line(written).alias("expected_text"),
+        F.when(plain, "negative").when(k % 3 == 0, "voice_agent").otherwise("normal").alias("group"),
+        F.col("o_orderpriority").alias("domain"),
+        F.col("o_orderstatus").alias("difficulty"),
+        F.when(k % 8 == 0, F.col("o_orderstatus")).alias("collision"),
+        F.when(plain, F.array().cast("array<struct<start:int,category:string,replacement:string,span_kind:string>>")).when(two, F.array(span(5), span(99))).otherwise(F.array(span(5))).alias("spans"),
+        F.when(k % 4 == 0, text).when(k % 6 == 0, wrong).otherwise(line(written)).alias("prediction"),
+        F.when(k % 11 == 0, "ValueError: no").alias("error"),
+    )
+
+
+#: The same rows as numbers: entities n, those right c, exact and decided; what evaluate.scored has to find.
+GRADED = """g AS (SELECT o_orderkey AS k, o_orderpriority AS domain, o_orderstatus AS difficulty, CASE WHEN k % 8 = 0 THEN o_orderstatus END AS collision,
+        CASE WHEN k % 5 = 0 THEN 'negative' WHEN k % 3 = 0 THEN 'voice_agent' ELSE 'normal' END AS grp, CASE WHEN k % 5 = 0 THEN 0 WHEN k % 7 = 0 THEN 2 ELSE 1 END AS n, k % 11 <> 0 AS up,
+        CASE WHEN k % 5 = 0 THEN true WHEN k % 4 = 0 THEN false ELSE k % 6 <> 0 END AS fits, k % 5 = 0 OR k % 4 <> 0 AS edits FROM orders),
+    r AS (SELECT *, up AND fits AS exact, CASE WHEN up AND fits THEN n ELSE 0 END AS c, up AND edits AS decided, CASE n WHEN 0 THEN 'KEEP' WHEN 1 THEN 'CARDINAL' ELSE 'MULTI' END AS kind FROM g)"""
+RATES = "count(*) AS rows, round(avg(CASE WHEN exact THEN 1 ELSE 0 END), 9) AS strict_exact, CAST(sum(c) AS BIGINT) AS entities_correct, CAST(sum(n) AS BIGINT) AS entities_total, round(sum(c) / nullif(sum(n), 0), 9) AS entity_accuracy, round(avg(CASE WHEN decided THEN 1 ELSE 0 END), 9) AS decision_accuracy"
+METRICS = ("rows", "strict_exact", "entities_correct", "entities_total", "entity_accuracy", "decision_accuracy")
+
+
+def _rounded(metrics: DataFrame) -> DataFrame:
+    rates = {"strict_exact", "entity_accuracy", "decision_accuracy"}
+    return metrics.select("slice", "value", *[F.round(c, 9).alias(c) if c in rates else F.col(c).cast("long").alias(c) for c in METRICS])
+
+
 @_query(
-    """WITH r AS (SELECT event_type, CAST(user_id % 5 AS VARCHAR) AS domain, value > 50 AS good FROM events)
-    SELECT event_type, domain, count(*) AS n, CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) AS BIGINT) AS n_good FROM r GROUP BY GROUPING SETS ((), (event_type), (domain))"""
+    f"""WITH {GRADED.replace("k % ", "o_orderkey % ")}, by_all AS (SELECT CASE grouping(kind, grp, domain, difficulty) WHEN 15 THEN 'overall' WHEN 7 THEN 'kind' WHEN 11 THEN 'group' WHEN 13 THEN 'domain' ELSE 'difficulty' END AS slice,
+        coalesce(kind, grp, domain, difficulty) AS value, {RATES} FROM r GROUP BY GROUPING SETS ((), (kind), (grp), (domain), (difficulty)))
+    SELECT * FROM by_all UNION ALL SELECT 'category', 'CARDINAL', {RATES} FROM (SELECT r.* FROM r, range(2) AS e(i) WHERE i < n)"""
 )
 def sliced_metrics(spark, sf_dir):
-    t = _table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 5).cast("string").alias("domain"), (F.col("value") > 50).alias("good"))
-    return t.groupingSets([[], ["event_type"], ["domain"]], "event_type", "domain").agg(F.count("*").alias("n"), F.sum(F.when(F.col("good"), 1).otherwise(0)).cast("long").alias("n_good"))
+    """Predictions scored row by row, then sliced."""
+    return _rounded(evaluate.sliced(evaluate.scored(_evaluation(spark, sf_dir))))
+
+
+@_query(
+    f"""WITH {GRADED.replace("k % ", "o_orderkey % ")}, s AS (
+        SELECT 'subset' AS slice, 'multi_entity' AS value, r.* FROM r WHERE n > 1 UNION ALL SELECT 'subset', 'voice_agent', r.* FROM r WHERE grp = 'voice_agent'
+        UNION ALL SELECT 'subset', 'standalone_negative_keep', r.* FROM r WHERE grp = 'negative' UNION ALL SELECT 'subset', 'all_no_span_keep', r.* FROM r WHERE n = 0
+        UNION ALL SELECT 'collision_family', collision, r.* FROM r WHERE collision IS NOT NULL)
+    SELECT slice, value, {RATES} FROM s GROUP BY slice, value"""
+)
+def subset_metrics(spark, sf_dir):
+    return _rounded(evaluate.subsets(evaluate.scored(_evaluation(spark, sf_dir))))
+
+
+@_query(
+    f"""WITH {GRADED.replace("k % ", "o_orderkey % ")} SELECT k AS id, kind, exact AS strict_exact, CAST(c AS INTEGER) AS entities_correct, CAST(n AS INTEGER) AS entities_total, exact AS entity_correct, decided AS decision_correct,
+    CASE WHEN NOT up THEN 'backend_error' WHEN exact THEN NULL WHEN NOT edits THEN 'missed_edit' ELSE 'wrong_rewrite' END AS error_type FROM r"""
+)
+def scored_rows(spark, sf_dir):
+    out = evaluate.scored(_evaluation(spark, sf_dir))
+    return out.select("id", "kind", "strict_exact", "entities_correct", "entities_total", "entity_correct", "decision_correct", "error_type")
+
+
+@_query("SELECT count(*) AS rows, CAST(sum(CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 6 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS identical_rows, CAST(sum(CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 6 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS mismatches, 0::BIGINT AS one_sided FROM orders WHERE o_orderkey % 5 <> 0")
+def prediction_audit(spark, sf_dir):
+    """Two runs over the same rows: those that the predictions change against the expected texts."""
+    rows = _evaluation(spark, sf_dir).where("id % 5 <> 0")
+    return evaluate.audit(rows, rows.select("id", F.col("expected_text").alias("prediction"))).select("rows", "identical_rows", "mismatches", "one_sided")
+
+
+@_query("SELECT o_orderkey, 'pick -' || o_orderkey AS prediction, CAST(NULL AS VARCHAR) AS error FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0")
+def backend_run(spark, sf_dir):
+    """The rule-based backend over evaluation rows of one negative number, warmed up, timed and with errors kept."""
+    rows = _evaluation(spark, sf_dir).where("id % 5 <> 0 AND id % 7 <> 0").drop("prediction", "error")
+    rows = rows.withColumn("text", F.replace("text", F.lit("pick "), F.lit("pick minus ")))
+    out = evaluate.predicted(rows, lambda: baseline.normalize_sentence)
+    return out.where("latency_ms >= 0").select(F.col("id").alias("o_orderkey"), "prediction", "error")
+
+
+@_query("SELECT o_orderkey, list_transform(range(13), lambda i: CAST((o_orderkey >> i) & 1 AS FLOAT)) AS flags FROM orders WHERE o_orderkey < 8192")
+def kind_multihot(spark, sf_dir):
+    t = _table(spark, sf_dir, "orders").where("o_orderkey < 8192")
+    return t.select("o_orderkey", columns.kind_flags("o_orderkey").alias("flags"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 20 THEN CAST(l_linenumber // 4 AS INTEGER) END AS first, CASE WHEN l_quantity <= 20 THEN CAST((l_linenumber + CAST(l_quantity AS BIGINT) - 1) // 4 + 1 AS INTEGER) END AS end_token FROM lineitem WHERE l_quantity > 0")
+def encoder_alignment(spark, sf_dir):
+    """Characters l_linenumber to l_linenumber + l_quantity under tokens of four characters; a span of over twenty runs past the last token."""
+    t = _table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    size = F.when(F.col("l_quantity") <= 20, F.lit(8)).otherwise(F.expr("int((l_linenumber + l_quantity - 1) / 4)"))
+    offsets = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct((i * 4).alias("start"), (i * 4 + 4).alias("end")))
+    found = columns.aligned_tokens(offsets, F.col("l_linenumber"), (F.col("l_linenumber") + F.col("l_quantity")).cast("int"))
+    return t.select("l_orderkey", "l_linenumber", found["first"].alias("first"), found["end"].alias("end_token"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size BETWEEN 20 AND 99 AND p_size % 10 > 0 AND p_partkey % 9 > 0 THEN [CAST(p_partkey % 9 + p_size AS VARCHAR), CAST(p_partkey % 9 AS VARCHAR) || p_size] END AS options FROM part WHERE p_size BETWEEN 20 AND 99 AND p_size % 10 > 0 AND p_partkey % 9 > 0")
+def cardinal_options(spark, sf_dir):
+    """A digit before a number of two words has two readings: their sum and both written one after another."""
+    t = _table(spark, sf_dir, "part").where("p_size BETWEEN 20 AND 99 AND p_size % 10 > 0 AND p_partkey % 9 > 0")
+    spoken = F.concat_ws(" ", spell.cardinal(F.col("p_partkey") % 9), spell.cardinal(F.col("p_size")))
+    return t.select("p_partkey", columns.realize_options("CARDINAL", spoken).alias("options"))
 
 
 @_query(

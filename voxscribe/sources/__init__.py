@@ -43,3 +43,16 @@ def paired(rows: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
     if not facts["n"] == facts["r"] == rows.count():
         raise ValueError("rows and records don't match one to one")
     return rows.join(records, key)
+
+
+def frozen(spark: SparkSession, files: dict[str, str]) -> dict[str, str]:
+    """files: path → SHA-256. The digests of the files as they are, read by Spark; raises if one is missing or differs, so nothing is measured on other data."""
+    found = {}
+    for path, want in files.items():
+        rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("digest")).take(2)
+        if len(rows) != 1:
+            raise ValueError(f"{path} is not one file")
+        found[path] = rows[0]["digest"]
+        if found[path] != want.lower():
+            raise ValueError(f"{path} has the SHA-256 {found[path]}, not {want}")
+    return found
