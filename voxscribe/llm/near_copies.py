@@ -34,6 +34,7 @@ from voxscribe.llm.lm import mixed
 from voxscribe.llm.simhash import GrayIndex, below, gathered, leaves, signed
 
 SLICES = 16
+FEW_SLICES = 4  # searched first
 WORD = 28
 NEAR = 20  # of 64 bits; at a similarity of 0.8 a pair differs in ten on average and in more than twenty once in thousands
 UPPER = (1 << 64) - (1 << WORD)  # the bits of a slice's word that name the slice
@@ -144,7 +145,7 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.nd
     return np.array(kept, dtype=np.int64)
 
 
-def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int = 4) -> np.ndarray:
+def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int = 2) -> np.ndarray:
     """Which of the pairs (a, b) are among the `few` nearest of one of their ends."""
     end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
     by = np.lexsort((pair, d[pair], end))
@@ -153,12 +154,15 @@ def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int = 4) -> np
     return np.unique(pair[by][place < few])
 
 
-def _pairs(fp: np.ndarray, ids: np.ndarray, marks: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
-    """u, v and d of a group's spanning forest of nearest candidates and of each document's nearest few."""
+MEMBER = ("fp", "id", "mark", "own")
+
+
+def _pairs(fp: np.ndarray, ids: np.ndarray, marks: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
+    """u, v and d of a group's spanning forest of nearest candidates and of each document's nearest few; documents of one component (own) are no candidates any more."""
     index = GrayIndex(fp.view(np.uint64))
     x, y = (index.order[k] for k in index.links(radius))
     d = np.bitwise_count((marks[x] ^ marks[y]).view(np.uint64))
-    near = (d <= NEAR) & (ids[x] != ids[y])
+    near = (d <= NEAR) & (own[x] != own[y])
     x, y, d = x[near], y[near], d[near]
     kept = np.union1d(nearest_forest(x, y, d, len(fp)), nearest_few(x, y, d))
     x, y = ids[x[kept]], ids[y[kept]]
@@ -171,11 +175,11 @@ def _batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 def candidates(marked: DataFrame, radius: int = 2, leaf_rows: int = 512) -> DataFrame:
     """
-    marked: id, mark and words, no id twice. u, v and d (bits in which their fingerprints differ) of pairs: in each node of the index a spanning forest of its nearest
+    marked: id, mark, own (its component so far) and words, no id twice. u, v and d (bits in which their fingerprints differ) of pairs: in each node of the index a spanning forest of its nearest
     candidates, and the few nearest of each document besides, since a forest's pair may fail the exact test that another passes. A node of more than leaf_rows members is
     cut again, except for the members of crowded words, which no cut parts; and all its members meet along the Gray order of their whole fingerprints, turned by another number of bits in each slice.
     """
-    words = written(marked.select("id", "mark", F.explode("words").alias("fp")), "words")
+    words = written(marked.select("id", "mark", "own", F.explode("words").alias("fp")), "words")
     rows, masks = below(words.withColumn("mask", F.lit(signed(UPPER))), [UPPER], radius)
     sizes = written(rows.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
     crowded = F.col("n") > leaf_rows
@@ -183,19 +187,19 @@ def candidates(marked: DataFrame, radius: int = 2, leaf_rows: int = 512) -> Data
     @frugal
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_pairs(*(group.values.field(name).to_numpy() for name in ("fp", "id", "mark")), radius) for group in b.column(0)]
+            found = [_pairs(*(group.values.field(name).to_numpy() for name in MEMBER), radius) for group in b.column(0)]
             if found:
                 yield _batch(found)
 
     @frugal
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows of leaf_rows members of a node, each half over the one before."""
-        key, held = None, [np.empty(0, dtype=np.int64)] * 3
+        key, held = None, [np.empty(0, dtype=np.int64)] * len(MEMBER)
         for b in batches:
             node = np.stack([b.column(k).to_numpy() for k in (0, 1)])
             cuts = [0, *(np.flatnonzero((node[:, 1:] != node[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
             for first, last in zip(cuts, cuts[1:]):
-                part = [b.column(k).to_numpy()[first:last] for k in (2, 3, 4)]
+                part = [b.column(k).to_numpy()[first:last] for k in range(2, 2 + len(MEMBER))]
                 now = tuple(node[:, first].tolist())
                 if now != key:
                     if len(held[0]) > 1:
@@ -216,13 +220,13 @@ def candidates(marked: DataFrame, radius: int = 2, leaf_rows: int = 512) -> Data
         members = rows.join(sizes.where(crowded).hint("merge"), ["mask", "pattern"]).drop("n")
         turn = F.pmod(F.shiftrightunsigned("fp", WORD) * 23, F.lit(64)).cast("int").alias("turn")
         rank = F.expr("shiftleft(mark, turn) | shiftrightunsigned(mark, 64 - turn)")
-        members = written(members.select("mask", "pattern", "fp", "id", "mark", turn).withColumn("rank", rank).drop("turn"), "members")
+        members = written(members.select("mask", "pattern", *MEMBER, turn).withColumn("rank", rank).drop("turn"), "members")
         for by in (1, 2, 4, 8, 16, 32):
             members = members.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", by)))
         order = ("mask", "pattern", "rank", "id")
-        found = found.union(members.repartitionByRange(*order).sortWithinPartitions(*order).select("mask", "pattern", "fp", "id", "mark").mapInArrow(along, schema))
+        found = found.union(members.repartitionByRange(*order).sortWithinPartitions(*order).select("mask", "pattern", *MEMBER).mapInArrow(along, schema))
         heavy = words.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows // 2).select("fp")
-        light = written(members.join(heavy.hint("merge"), "fp", "left_anti").select("fp", "id", "mark", "mask"), "light")
+        light = written(members.join(heavy.hint("merge"), "fp", "left_anti").select(*MEMBER, "mask"), "light")
         found = found.union(leaves(light, masks, radius, leaf_rows).mapInArrow(search, schema))
     return found.groupBy("u", "v").agg(F.min("d").alias("d"))
 
@@ -258,21 +262,33 @@ def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     marked = written(sketches(rows, width), "sketches")
     copies = marked.groupBy("digest").agg(F.min("id").alias("rep"))
     named = written(marked.join(copies.hint("merge"), "digest").select("id", "rep", "mark", "words"), "named")
-    left = lasting("candidates", lambda: candidates(named.where("id = rep").drop("rep")))
-    ends = left.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = written(rows.select("id", "text").join(ends.hint("merge"), "id", "left_semi"), "texts")
-    links, found = None, None
-    for ends in (("u", "v"), ("cu", "cv"), None):
-        chosen = written(_nearest(left, ends) if ends else left.select("u", "v"), "chosen")
-        good = written(verified(chosen, texts, width, similar), "links")
-        links = good if links is None else links.union(good)
-        found = lasting("components", lambda: components(links))
-        if ends is None or left.isEmpty():
-            break
-        of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        left = left.select("u", "v", "d").join(chosen.hint("merge"), ["u", "v"], "left_anti")
-        left = left.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")})
-        left = written(left.where("cu <> cv"), "left")
+    reps = named.where("id = rep").drop("rep")
+    links, found, left = None, None, None
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")).hint("merge")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends still lie in different components, with these as cu and cv."""
+        if found is None:
+            return pairs.select("u", "v", "d", F.col("u").alias("cu"), F.col("v").alias("cv"))
+        both = pairs.select("u", "v", "d").join(of("u"), "u", "left").join(of("v"), "v", "left")
+        return both.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).where("cu <> cv")
+
+    slice_of = lambda w: F.shiftrightunsigned(w, WORD)
+    for first, last, rounds in ((0, FEW_SLICES, 2), (FEW_SLICES, SLICES, 3)):  # what the first slices join needs no candidates in the others
+        some = reps.withColumn("words", F.filter("words", lambda w: (slice_of(w) >= first) & (slice_of(w) < last)))  # noqa: B023
+        some = some.withColumn("own", F.col("id")) if found is None else some.join(of("id"), "id", "left").withColumn("own", F.coalesce("cid", "id"))
+        new = lasting("candidates", lambda: candidates(some))  # noqa: B023
+        left = written(apart(new if left is None else left.select("u", "v", "d").union(new)).groupBy("u", "v", "cu", "cv").agg(F.min("d").alias("d")), "left")
+        ends = left.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        texts = written(rows.select("id", "text").join(ends.hint("merge"), "id", "left_semi"), "texts")
+        for ends in (("u", "v"), ("cu", "cv"), None)[:rounds]:
+            chosen = written(_nearest(left, ends) if ends else left.select("u", "v"), "chosen")
+            good = written(verified(chosen, texts, width, similar), "links")
+            links = good if links is None else links.union(good)
+            found = lasting("components", lambda: components(links))  # noqa: B023
+            if ends is None or left.isEmpty():
+                break
+            left = written(apart(left.join(chosen.hint("merge"), ["u", "v"], "left_anti")), "left")
     return named.select("id", "rep").join(found, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
 
 
