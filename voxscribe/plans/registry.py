@@ -189,8 +189,9 @@ def whole_candidates(spark, sf_dir):
     return whole.groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
-@_query()
+@_query("SELECT conv_id, turn, text AS normalized FROM conversations")
 def normalize_conversations(spark, sf_dir):
+    """Prose without spoken forms stays as it is."""
     return candidates.normalized(_spread(_table(spark, sf_dir, "conversations"))).select("conv_id", "turn", "normalized")
 
 
