@@ -584,7 +584,7 @@ def test_toxicity_held_out_and_odd_rows(spark, empty):
     assert all(r["predicted"] == 0 for r in out if r["doc_id"] in (1000, 1001, None))
     again = toxicity.classify(docs.repartition(5), labels).collect()
     assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in out) == sorted((str(r["doc_id"]), round(r["score"], 5)) for r in again)
-    assert toxicity.classify(empty, labels).count() == 0
+    assert {r["rejected"] for r in out} == {True, False} and toxicity.classify(empty, labels).count() == 0
     unlabelled = toxicity.classify(docs, labels.where("false"), carry=True)
     assert {r["predicted"] for r in unlabelled.collect()} == {0}
     assert unlabelled.select("row.*").columns == docs.columns
@@ -616,6 +616,62 @@ def test_byte_network_reads_every_byte():
     assert plain[0] != plain[1]
 
 
+def small_cnn(words):
+    rng = np.random.default_rng(8)
+    model = toxicity.TextCnn(np.array(sorted({toxicity.bucket(w) for w in words}), dtype=np.int64))
+    model.embedding[1:] = rng.standard_normal(model.embedding[1:].shape)
+    model.shift = [rng.standard_normal(s.shape).astype(np.float32) for s in model.shift]
+    model.prepare()
+    return model
+
+
+def plain_toxicity(model, text):
+    """One text's probability, window by window and filter by filter."""
+    place = {b: i + 1 for i, b in enumerate(model.buckets.tolist())}
+    words = [place.get(toxicity.bucket(w), 0) for w in (text or "").lower().split()]
+    pooled = []
+    for f, shift in zip(model.filters, model.shift):
+        for k in range(f.shape[2]):
+            found = []
+            for at in range(max(len(words), 1)):
+                inside = [model.embedding[words[at + o]] if at + o < len(words) else np.zeros(f.shape[1]) for o in range(len(f))]
+                found.append(sum(float(x @ f[o][:, k]) for o, x in enumerate(inside)))
+            pooled.append(max(max(found) + float(shift[k]), 0.0))
+    return 1 / (1 + np.exp(-(float(np.array(pooled) @ model.out) + float(model.bias[0]))))
+
+
+def test_toxicity_scores_match_a_plain_convolution():
+    texts = ["vile words, here!", "", None, "sun moon star", "sun", "unknown words only", sentence(random.Random(2), 90), "moon vile sun " * 5]
+    model = small_cnn(["vile", "words", "sun", "moon", "star", "here"])
+    assert np.allclose(model.scores(texts), [plain_toxicity(model, t) for t in texts], atol=1e-5)
+    assert np.allclose(model.scores(texts[::-1])[::-1], [float(model.scores([t])[0]) for t in texts], atol=1e-6)
+
+
+def plain_quality(model, text):
+    """One text's probability by sums over single bytes: windows every two bytes, chunks of two halves."""
+    b = (text or "").encode()
+    size = max(2 * quality.HALF, -(-len(b) // quality.HALF) * quality.HALF)
+    data = list(b + bytes(size - len(b) + quality.WIDTH))
+    values = np.array([sum(model.table[o][data[at + o]] for o in range(quality.WIDTH)) for at in range(0, size, quality.STRIDE)])
+    hidden = []
+    for begin in range(0, size - quality.HALF, quality.HALF):
+        inside = values[begin // quality.STRIDE : (begin + 2 * quality.HALF) // quality.STRIDE]
+        pooled = np.maximum(inside.max(0) + model.shift, 0)
+        filled = sum(x != 0 for x in data[begin : begin + 2 * quality.HALF]) / (2 * quality.HALF)
+        hidden.append(np.maximum(pooled @ model.dense[:-1] + filled * model.dense[-1] + model.dense_shift, 0))
+    hidden = np.array(hidden)
+    return 1 / (1 + np.exp(-(float(np.concatenate([hidden.max(0), hidden.mean(0)]) @ model.out) + float(model.bias[0]))))
+
+
+def test_quality_scores_match_a_plain_convolution():
+    rng = random.Random(6)
+    texts = ["", None, "a", "é" * 200, "x" * 255, "x" * 256, "x" * 257, sentence(rng, 30), sentence(rng, 400), "y" * 127]
+    model = quality.ByteCnn()
+    model.prepare()
+    assert np.allclose(model.scores(texts), [plain_quality(model, t) for t in texts], atol=1e-4)
+    assert np.allclose(model.scores(texts), [float(model.scores([t])[0]) for t in texts], atol=1e-6)  # neighbours don't count
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>

@@ -1,7 +1,7 @@
 """
 Document quality by a byte-level convolutional network in numpy.
 
-Learned filters of eight bytes slide over the whole document by two; each filter's maximum is pooled in chunks that
+Learned filters of eight bytes slide over the whole document by two (so the same words give other maxima at odd places than at even ones); each filter's maximum is pooled in chunks that
 overlap by half and cover every byte. A hidden layer reads a chunk's maxima and how full it is, so it sees what a chunk holds and what it
 lacks (repetition leaves most filters silent); hidden units are combined over all chunks by maximum and mean, and a
 logistic unit makes one probability of good quality.
@@ -80,13 +80,14 @@ class ByteCnn:
         out = np.empty(len(texts))
         for at in range(0, len(texts), 64):
             parts = [_bytes(t) for t in texts[at : at + 64]]
-            whole = np.concatenate([*parts, np.zeros(WIDTH, dtype=np.uint8)])
+            gap = np.zeros(HALF, dtype=np.uint8)  # so that no window reads two texts
+            whole = np.concatenate([*(x for p in parts for x in (p, gap)), np.zeros(WIDTH, dtype=np.uint8)])
             step = 1 << 18
             high = np.concatenate([self.halves(whole[i : min(i + step, len(whole) - WIDTH) + WIDTH]) for i in range(0, len(whole) - WIDTH, step)])
             begin = 0
             for k, p in enumerate(parts):
                 h = high[begin : begin + len(p) // HALF]
-                begin += len(p) // HALF
+                begin += len(p) // HALF + 1
                 pooled = np.maximum(np.maximum(h[:-1], h[1:]) + self.shift, 0)
                 z = pooled @ self.dense[:-1] + _filled(p)[:, None] * self.dense[-1] + self.dense_shift
                 z = np.maximum(z, 0)
