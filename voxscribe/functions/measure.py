@@ -13,6 +13,48 @@ PREFIXES = {"": "", "peta": "P", "tera": "T", "giga": "G", "mega": "M", "kilo":
 SCALED = {"meter": "m", "metre": "m", "gram": "g", "second": "s", "liter": "L", "litre": "L", "watt": "W", "volt": "V", "ampere": "A", "amp": "A", "joule": "J", "pascal": "Pa", "hertz": "Hz", "newton": "N", "farad": "F", "henry": "H", "coulomb": "C", "siemens": "S", "sievert": "Sv", "becquerel": "Bq", "ohm": "Ω", "bit": "bit", "byte": "B", "calorie": "cal", "mole": "mol", "bar": "bar", "watt hour": "Wh", "amp hour": "Ah", "electron volt": "eV"}
 SINGLE = {"inch": "in", "foot": "ft", "yard": "yd", "mile": "mi", "ounce": "oz", "fluid ounce": "fl oz", "pound": "lb", "stone": "st", "ton": "ton", "tonne": "ton", "gallon": "gal", "barrel": "bbl", "acre": "acre", "hectare": "ha", "minute": "min", "hour": "h", "day": "day", "week": "week", "month": "month", "year": "yr", "light year": "ly", "degree": "°", "percent": "%", "knot": "kt", "lumen": "lm", "candela": "cd", "decibel": "dB", "dalton": "Da", "chain": "ch", "atmosphere": "atm", "horsepower": "hp", "hundredweight": "cwt", "kelvin": "K", "celsius": "°C", "fahrenheit": "°F", "degree celsius": "°C", "degree fahrenheit": "°F", "degree c": "°C", "degree f": "°F", "neper": "Np", "astronomical unit": "AU", "atomic mass unit": "amu", "c c": "cm³", "kilogram force": "kgf", "millimeter of mercury": "mmHg", "pixel per inch": "ppi", "revolution per minute": "rpm", "mile per hour": "mph", "bit per second": "bps", "newton meter": "Nm"}
 AREAS = {"inch": "in", "foot": "ft", "yard": "yd", "mile": "mi"}
+#: Spoken units whose symbol isn't that of the rule above.
+SPECIAL = {
+    "liter": "l",
+    "milliliter": "ml",
+    "centiliter": "cl",
+    "micro liter": "µL",
+    "micro litre": "µL",
+    "micro ampere": "µA",
+    "micro pascal": "µPa",
+    "microgram": "ug",
+    "microsecond": "us",
+    "millivolt": "mv",
+    "ohm": "ohm",
+    "pascal": "pa",
+    "byte": "b",
+    "decibel": "db",
+    "astronomical unit": "au",
+    "c c": "cc",
+    "gigawatt hour": "gWh",
+    "megabit": "mbit",
+    "gigabit": "gbit",
+    "kilobit": "kbit",
+    "terabit": "tbit",
+    "tera bit": "Tb",
+    "petabit": "Pb",
+    "peta bit": "Pb",
+    "mega siemens": "ms",
+    "pico siemen": "pS",
+    "kilobit per second": "Kb/s",
+    "megabit per second": "Mb/s",
+    "gigabit per second": "Gb/s",
+    "kilobyte per second": "KB/s",
+    "kilo byte per second": "KB/s",
+    "kilogram force": "kgf",
+    "barrel of oil per day": "bpd",
+    "gallon per minute": "gal/min",
+    "per square second": "/s²",
+    "per year": "/year",
+    "per barrel": "/barrel",
+    "per square mile": "/mi²",
+    "per mega gram": "/Mg",
+}
 PLURALS = {"foot": "feet", "inch": "inches", "henry": "henrys"}
 #: Symbols as they are written, besides those that the units above have.
 WRITTEN = {"%": "%", "p.c.": "%", "percent": "%", '"': "in", "'": "ft", "mi²": "sq mi", "ft²": "sq ft", "in²": "sq in", "yd²": "sq yd", "cm3": "cm³", "m3": "m³", "km2": "km²", "m2": "m²", "GB": "GB", "Gb": "Gbit", "Mb": "Mbit", "Kb": "kbit", "kb": "kbit", "l": "L", "ml": "mL", "uL": "μL", "µm": "μm", "um": "μm", "h": "h", "hr": "h", "min": "min", "sec": "s", "kph": "km/h", "KB": "KB"}
@@ -39,8 +81,9 @@ def units() -> dict[str, str]:
         if rest:
             out.setdefault(f"{PLURALS.get(head, head + 's')} {rest}", mark)
 
-    for name, mark in SINGLE.items():
-        take(name, mark)
+    for table in (SPECIAL, SINGLE):
+        for name, mark in table.items():
+            take(name, mark)
     for base, mark in SCALED.items():
         for prefix, p in PREFIXES.items():
             symbol = "KB" if (p, mark) == ("k", "B") else p + mark

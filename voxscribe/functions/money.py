@@ -9,19 +9,180 @@ from voxscribe.functions.numbers import DIGITS, HYPHENS, POWERS, SMALL, TENS, di
 
 # How amounts are shown where that isn't the code and a space.
 DISPLAYS = {"USD": "$", "GBP": "£", "EUR": "€", "INR": "Rs", "JPY": "¥", "BRL": "R$", "DEM": "DM"}
-# Code → countries' adjectives: unit; names that stand alone. A name is made plural by the rules below.
-CURRENCIES = """
-USD united states dollar; dollar, buck | CAD canadian dollar; | AUD australian dollar; | NZD new zealand dollar; | TWD new taiwan dollar; | HKD hong kong dollar; | SGD singapore dollar; | BMD bermudian dollar; | BSD bahamian dollar; | NAD namibian dollar; | FJD fiji dollar; | BND brunei dollar; | JMD jamaican dollar; | BBD barbados dollar; | XCD east caribbean dollar; | SRD surinamese dollar; | SBD solomon islands dollar; | TTD trinidad and tobago dollar; tobago dollar
-GBP british pound; pound, quid | EGP egyptian pound; | LBP lebanese pound; | SDG sudanese pound; | SSP south sudanese pound; | IEP irish pound; | CYP cypriot pound; | SHP saint helena pound; | SYP syrian pound;
-EUR ; euro | INR indian rupee; rupee | PKR pakistani rupee; | NPR nepalese rupee; | LKR sri lanka rupee; | SCR seychelles rupee; | JPY japanese yen; yen | KRW korean won; won | CNY chinese yuan; yuan | BRL brazilian real; real
-NOK norwegian krone; kroner | DKK danish krone; | SEK swedish krona; kronor | ISK icelandic krona; | CHF swiss franc; franc | RWF rwandan franc; | GNF guinean franc; | CDF congolese franc; | DJF djiboutian franc; | BEF belgian franc; | FRF french franc; | BIF burundian franc; | DEM german mark; mark | BAM convertible mark;
-DOP dominican peso; peso | PHP philippine peso; | ARS argentine peso; | CLP chilean peso; | MXN mexican peso; | PLN polish zloty; zloty | CZK czech koruna; koruna | SKK slovak koruna; | HUF hungarian forint; forint | AZN azerbaijani manat; manat | TMT turkmenistani manat; | MYR malaysian ringgit; ringgit | THB thai baht; baht | VND vietnamese dong; dong | IDR indonesian rupiah; rupiah | BDT bangladeshi taka; taka
-AED united arab emirates dirham; dirham | SAR saudi riyal; riyal | QAR qatari rial; rial | IRR iranian rial; | OMR omani rial; | ILS israeli new sheqel; | ZAR south african rand; rand | MVR maldivian rufiyaa; | BWP botswana pula; pula | GMD gambian dalasi; dalasi | KES kenyan shilling; shilling | TZS tanzanian shilling; | UGX ugandan shilling; | NGN nigerian naira; naira | ETB ethiopian birr; birr
-RUB russian ruble; ruble, rouble | BYR belarusian ruble; | UAH ukrainian hryvnia; hryvnia | RSD serbian dinar; dinar | KWD kuwaiti dinar; | TND tunisian dinar; | LYD libyan dinar; | DZD algerian dinar; | BGN bulgarian lev; lev | HRK croatian kuna; | ESP spanish peseta; peseta | ITL italian lira; lira | PTE portuguese escudo; | CVE cape verde escudo; escudo | GRD greek drachma; | ATS austrian schilling; schilling | FIM finnish markka; | GHS ghanaian cedi; | KZT kazakhstani tenge; | CRC costa rican colon; colon | MOP macanese pataca; pataca | AWG aruban florin; florin | NLG netherlands guilder; | MDL moldovan leu; | MNT mongolian tugrik; | KHR cambodian riel; | AFN afghan afghani; | LAK lao kip; kip | PGK papua new guinean kina; kina
-"""
-# Minor units.
-MINORS = "USD cent, united states cent; GBP pence, penny, pennies, british pence; EUR euro cent, centime; INR paise, paisa; JPY sen; BRL centavo; CAD canadian cent; CHF swiss rappen, rappen; CNY fen, jiao, chinese fen, chinese jiao; KRW jeon; MYR malaysian sen; DEM german pfennig, pfennig; PLN polish grosz, grosz; CZK czech haler, haler; RUB kopek, kopec; NOK ore, norwegian ore; DKK danish ore; SEK swedish ore; PKR pakistani paise; GHS pesewa; ESP centimo; IEP irish penny, irish pennies; AED fils; ATS groschen; KZT tiin; MOP avo; LBP piastre"
-PLURALS = {"krone": "kroner", "krona": "kronor", "penny": "pence"}
+# The names of each currency, in the singular; a name is made plural by the rules below.
+CURRENCIES = {
+    "USD": ["united states dollar", "dollar", "buck"],
+    "CAD": ["canadian dollar"],
+    "AUD": ["australian dollar"],
+    "NZD": ["new zealand dollar"],
+    "TWD": ["new taiwan dollar"],
+    "HKD": ["hong kong dollar"],
+    "SGD": ["singapore dollar"],
+    "BMD": ["bermudian dollar"],
+    "BSD": ["bahamian dollar"],
+    "NAD": ["namibian dollar"],
+    "FJD": ["fiji dollar"],
+    "BND": ["brunei dollar"],
+    "JMD": ["jamaican dollar"],
+    "BBD": ["barbados dollar"],
+    "XCD": ["east caribbean dollar"],
+    "SRD": ["surinamese dollar"],
+    "SBD": ["solomon islands dollar"],
+    "TTD": ["trinidad and tobago dollar", "tobago dollar"],
+    "GBP": ["british pound", "pound", "quid"],
+    "EGP": ["egyptian pound"],
+    "LBP": ["lebanese pound"],
+    "SDG": ["sudanese pound"],
+    "SSP": ["south sudanese pound"],
+    "IEP": ["irish pound"],
+    "CYP": ["cypriot pound"],
+    "SHP": ["saint helena pound"],
+    "SYP": ["syrian pound"],
+    "EUR": ["euro"],
+    "INR": ["indian rupee", "rupee"],
+    "PKR": ["pakistani rupee"],
+    "NPR": ["nepalese rupee"],
+    "LKR": ["sri lanka rupee"],
+    "SCR": ["seychelles rupee"],
+    "JPY": ["japanese yen", "yen"],
+    "KRW": ["korean won", "won"],
+    "CNY": ["chinese yuan", "yuan"],
+    "BRL": ["brazilian real", "real"],
+    "NOK": ["norwegian krone", "kroner"],
+    "DKK": ["danish krone"],
+    "SEK": ["swedish krona", "kronor"],
+    "ISK": ["icelandic krona"],
+    "CHF": ["swiss franc", "franc", "generic franc"],
+    "RWF": ["rwandan franc"],
+    "GNF": ["guinean franc"],
+    "CDF": ["congolese franc"],
+    "DJF": ["djiboutian franc"],
+    "BEF": ["belgian franc"],
+    "FRF": ["french franc"],
+    "BIF": ["burundian franc"],
+    "DEM": ["german mark", "mark"],
+    "BAM": ["convertible mark", "bosnia and herzegovina convertible mark"],
+    "DOP": ["dominican peso", "peso"],
+    "PHP": ["philippine peso"],
+    "ARS": ["argentine peso"],
+    "CLP": ["chilean peso"],
+    "MXN": ["mexican peso"],
+    "PLN": ["polish zloty", "zloty"],
+    "CZK": ["czech koruna", "koruna"],
+    "SKK": ["slovak koruna"],
+    "HUF": ["hungarian forint", "forint"],
+    "AZN": ["azerbaijani manat", "manat"],
+    "TMT": ["turkmenistani manat"],
+    "MYR": ["malaysian ringgit", "ringgit"],
+    "THB": ["thai baht", "baht"],
+    "VND": ["vietnamese dong", "dong"],
+    "IDR": ["indonesian rupiah", "rupiah"],
+    "BDT": ["bangladeshi taka", "taka"],
+    "AED": ["united arab emirates dirham", "dirham", "emirates dirham", "arab emirates dirham"],
+    "SAR": ["saudi riyal", "riyal"],
+    "QAR": ["qatari rial", "rial"],
+    "IRR": ["iranian rial"],
+    "OMR": ["omani rial"],
+    "ILS": ["israeli new sheqel"],
+    "ZAR": ["south african rand", "rand"],
+    "MVR": ["maldivian rufiyaa"],
+    "BWP": ["botswana pula", "pula"],
+    "GMD": ["gambian dalasi", "dalasi"],
+    "KES": ["kenyan shilling", "shilling"],
+    "TZS": ["tanzanian shilling"],
+    "UGX": ["ugandan shilling"],
+    "NGN": ["nigerian naira", "naira"],
+    "ETB": ["ethiopian birr", "birr"],
+    "RUB": ["russian ruble", "ruble", "rouble"],
+    "BYR": ["belarusian ruble"],
+    "UAH": ["ukrainian hryvnia", "hryvnia"],
+    "RSD": ["serbian dinar", "dinar"],
+    "KWD": ["kuwaiti dinar"],
+    "TND": ["tunisian dinar"],
+    "LYD": ["libyan dinar"],
+    "DZD": ["algerian dinar"],
+    "BGN": ["bulgarian lev", "lev"],
+    "HRK": ["croatian kuna"],
+    "ESP": ["spanish peseta", "peseta"],
+    "ITL": ["italian lira", "lira"],
+    "PTE": ["portuguese escudo"],
+    "CVE": ["cape verde escudo", "escudo"],
+    "GRD": ["greek drachma"],
+    "ATS": ["austrian schilling", "schilling"],
+    "FIM": ["finnish markka"],
+    "GHS": ["ghanaian cedi"],
+    "KZT": ["kazakhstani tenge"],
+    "CRC": ["costa rican colon", "colon"],
+    "MOP": ["macanese pataca", "pataca"],
+    "AWG": ["aruban florin", "florin"],
+    "NLG": ["netherlands guilder"],
+    "MDL": ["moldovan leu"],
+    "MNT": ["mongolian tugrik"],
+    "KHR": ["cambodian riel"],
+    "AFN": ["afghan afghani", "afghani"],
+    "LAK": ["lao kip", "kip"],
+    "PGK": ["papua new guinean kina", "kina"],
+    "SLL": ["sierra leonean leone", "leone"],
+    "ERN": ["eritrean nakfa"],
+    "MKD": ["macedonian denar"],
+    "AOA": ["angolan kwanza"],
+    "VEF": ["venezuelan bolivar fuerte"],
+    "EEK": ["estonian kroon"],
+    "WST": ["samoan tala"],
+    "HNL": ["honduran lempira"],
+    "MMK": ["myanma kyat"],
+    "PAB": ["panamanian balboa"],
+    "MRO": ["mauritanian ouguiya"],
+    "SIT": ["slovenian tolar"],
+    "UZS": ["uzbekistan som"],
+    "VUV": ["vanuatu vatu"],
+    "LSL": ["lesotho loti"],
+    "ANG": ["netherlands antillean guilder", "antillean guilder"],
+    "MCF": ["monegasque franc"],
+    "LTL": ["lithuanian litas"],
+    "LVL": ["latvian lats"],
+    "XPT": ["platinum ounce"],
+    "XAG": ["silver ounce"],
+    "MTL": ["maltese lira"],
+    "VAL": ["vatican lira"],
+    "SML": ["sammarinese lira"],
+}
+# The names of minor units.
+MINORS = {
+    "USD": ["cent", "united states cent"],
+    "GBP": ["pence", "penny", "pennies", "british pence"],
+    "EUR": ["euro cent", "centime"],
+    "INR": ["paise", "paisa"],
+    "JPY": ["sen"],
+    "BRL": ["centavo"],
+    "CAD": ["canadian cent"],
+    "CHF": ["swiss rappen", "rappen"],
+    "CNY": ["fen", "jiao", "chinese fen", "chinese jiao"],
+    "KRW": ["jeon"],
+    "MYR": ["malaysian sen"],
+    "DEM": ["german pfennig", "pfennig"],
+    "PLN": ["polish grosz", "grosz", "polish groszy"],
+    "CZK": ["czech haler", "haler"],
+    "RUB": ["kopek", "kopec"],
+    "NOK": ["ore", "norwegian ore"],
+    "DKK": ["danish ore"],
+    "SEK": ["swedish ore"],
+    "PKR": ["pakistani paise"],
+    "GHS": ["pesewa", "ghanaian pesewa"],
+    "ESP": ["centimo"],
+    "IEP": ["irish penny", "irish pennies"],
+    "AED": ["fils"],
+    "ATS": ["groschen", "austrian groschen"],
+    "KZT": ["tiin", "kazakhstani tiin"],
+    "MOP": ["avo"],
+    "LBP": ["piastre"],
+    "MCF": ["monegasque centime"],
+    "NIO": ["cordoba centavo"],
+    "SKK": ["halier"],
+    "CRC": ["costa rican centimo"],
+    "LTL": ["centsas"],
+}
+PLURALS = {"krone": "kroner", "krona": "kronor", "penny": "pennies", "fuerte": "fuertes"}
 #: Minor units that may divide the major by ten.
 TENTHS = {"jeon", "jiao", "sen"}
 SCALES = {"thousand": 3, "lakh": 5, "lakhs": 5, "million": 6, "crore": 7, "crores": 7, "billion": 9, "trillion": 12}
@@ -38,17 +199,12 @@ def names() -> dict[str, tuple[str, bool]]:
         for form in (phrase, phrase[: -len(last)] + PLURALS.get(last, last + "s")):
             out.setdefault(form, (code, minor))
 
-    for entry in re.split(r"[|\n]", CURRENCIES):
-        if entry.strip():
-            code, _, rest = entry.strip().partition(" ")
-            full, _, short = rest.partition(";")
-            for phrase in [full.strip(), *(x.strip() for x in short.split(","))]:
-                if phrase:
-                    take(phrase, code, False)
-    for entry in MINORS.split(";"):
-        code, _, rest = entry.strip().partition(" ")
-        for phrase in rest.split(","):
-            take(phrase.strip(), code, True)
+    for phrases, minor in ((CURRENCIES, False), (MINORS, True)):
+        for code, singular in phrases.items():
+            for phrase in singular:
+                take(phrase, code, minor)
+    # Fixed value: a plural of its own.
+    out["icelandic kronur"] = ("ISK", False)
     return out
 
 
