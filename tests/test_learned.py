@@ -1,5 +1,6 @@
 """The log-linear scorer, the baseline without context, and the way from written to spoken."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -75,3 +76,23 @@ def test_public_names():
     assert all(hasattr(voxscribe, n) for n in voxscribe.__all__)
     assert voxscribe.build_info()["version"] == voxscribe.__version__
     assert isinstance(decode.build_candidates("one two")[0], voxscribe.Candidate)
+
+
+def test_normalizer_with_saved_weights_and_contexts(tmp_path):
+    path = str(tmp_path / "weights.json")
+    weights = np.zeros(learned.SIZE)
+    first = learned.LogLinear(weights).save(path)
+    second = learned.LogLinear(weights + 0.001).save(path)
+    assert first != second and learned.LogLinear.load(f"{path}.before", first) and not (tmp_path / "weights.json.new").exists()
+    with pytest.raises(ValueError, match="digest"):
+        voxscribe.Normalizer.from_pretrained(path, first)
+    assert voxscribe.Normalizer.from_pretrained(path, second).normalize("two three") != ""
+    own, other = voxscribe.Context(reference=dt.datetime(2026, 9, 19)), voxscribe.Context(reference=dt.datetime(2026, 1, 1))
+    n = voxscribe.Normalizer(context=own)
+    assert "2026-09-20" in n.normalize_resolved("call me tomorrow") and "2026-01-02" in n.normalize_resolved("call me tomorrow", other)
+    out = n.normalize_structured("meet at four thirty")
+    assert out.text == "meet at 04:30" and out.spans[0].text == "04:30" and n.normalize("") == ""
+    with pytest.raises(TypeError):
+        n.normalize(None)
+    with pytest.raises(TypeError):
+        voxscribe.Normalizer(context="today")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,7 +53,16 @@ class LogLinear:
         """Weights with the kinds they were fitted for and a digest, which load() checks. Returns the digest."""
         body = {"kinds": KINDS, "weights": [round(float(w), 9) for w in self.weights]}
         digest = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
-        Path(path).write_text(json.dumps({**body, "sha256": digest}))
+        new, at = f"{path}.new", Path(path)
+        with open(new, "w") as f:
+            json.dump({**body, "sha256": digest}, f)
+            f.flush()
+            os.fsync(f.fileno())
+        if at.exists():  # the weights before stay beside, and a reader finds one whole file or the other
+            before = Path(f"{path}.before")
+            before.unlink(missing_ok=True)
+            os.link(at, before)
+        os.replace(new, at)
         return digest
 
     @classmethod
