@@ -20,6 +20,7 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ from voxscribe.llm.simhash import forest
 SLACK = 1e-9
 
 
+@functools.cache
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
     """A random orthogonal matrix, the same for the same arguments."""
     q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
@@ -122,7 +124,12 @@ def _search(group: pd.DataFrame, block_dims: int, cosine: float, seed: int, tile
     home = group["home"].to_numpy()
     a, b = edges[k]
     index = index[np.argsort(y[index, a], kind="stable")]  # the tiles below then cover short ranges of the first coordinate
-    reach = np.sqrt(budgets[k])
+    reach = np.sqrt(budgets[k]) + SLACK
+
+    def within(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        d = y[left, edges[n][0] : edges[n][1]] - y[right, edges[n][0] : edges[n][1]]
+        return (d * d).sum(1) <= budgets[n]
+
     counts, us, vs = np.zeros(len(group), dtype=np.int64), [], []
     for i in range(0, len(index), tile):
         left = index[i : i + tile]
@@ -134,7 +141,7 @@ def _search(group: pd.DataFrame, block_dims: int, cosine: float, seed: int, tile
                 p, q = y[left, edges[n][0] : edges[n][1]], y[right, edges[n][0] : edges[n][1]]
                 return (p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T
 
-            close = apart(k, left, right) <= budgets[k]
+            close = apart(k, left, right) <= budgets[k] + SLACK / 10  # by a sum that rounds; within() decides
             close &= ~home[right][None] | (rank[left][:, None] < rank[right][None])  # within the cell each pair once
             p, q = np.nonzero(close)
             p, q = left[p], right[q]
@@ -142,9 +149,8 @@ def _search(group: pd.DataFrame, block_dims: int, cosine: float, seed: int, tile
                 l, r = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
                 keep = (x[l] * x[r]).sum(1) >= cosine * norm[l] * norm[r]
                 l, r = l[keep], r[keep]
-                for n in range(k):  # an earlier block counts it
-                    d = y[l, edges[n][0] : edges[n][1]] - y[r, edges[n][0] : edges[n][1]]
-                    keep = (d * d).sum(1) > budgets[n]
+                for n in range(k + 1):  # the first block within its budget counts the pair
+                    keep = within(n, l, r) == (n == k)
                     l, r = l[keep], r[keep]
                 np.add.at(counts, l, sizes[r])
                 np.add.at(counts, r, sizes[l])
