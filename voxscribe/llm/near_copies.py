@@ -7,9 +7,9 @@ SLICES slices, each with a SimHash word of WORD bits, and documents are candidat
 their whole fingerprints are within NEAR bits. A slice of a near copy is often untouched by its edits, else it is as near as the
 documents are. Documents of one shingle set are found by a digest and searched as one.
 
-Candidates become links in rounds: each document's nearest candidate is verified by its exact similarity, then each component's,
-then all that still lead from one component to another. So a large group of copies costs a few comparisons a document, not all
-its pairs, and nothing that could join two components goes untested among the candidates.
+Every candidate is verified by its exact similarity. The first few slices go first, and documents that their links join are no candidates
+of each other in the others; in a node of the index only a spanning forest of the nearest candidates and each document's nearest one
+are taken. So a large group of copies costs a few comparisons a document, not all its pairs.
 
 What is lost: pairs that aren't among the candidates of any slice; the share found is measured against brute force in the tests and the README. Fewer than `width` words are one
 shingle, no words none; documents without words form one group.
@@ -34,9 +34,9 @@ from voxscribe.llm.lm import mixed
 from voxscribe.llm.simhash import GrayIndex, below, gathered, leaves, signed
 
 SLICES = 16
-FEW_SLICES = 4  # searched first
+STEPS = (0, 3, SLICES)  # slices that are searched together; what the first ones link needs no candidates in the others
 WORD = 28
-NEAR = 20  # of 64 bits; at a similarity of 0.8 a pair differs in ten on average and in more than twenty once in thousands
+NEAR = 16  # of 64 bits; at a similarity of 0.8 a pair differs in ten on average, rarely in more than sixteen
 UPPER = (1 << 64) - (1 << WORD)  # the bits of a slice's word that name the slice
 
 
@@ -145,7 +145,7 @@ def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.nd
     return np.array(kept, dtype=np.int64)
 
 
-def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int = 2) -> np.ndarray:
+def nearest_few(a: np.ndarray, b: np.ndarray, d: np.ndarray, few: int = 1) -> np.ndarray:
     """Which of the pairs (a, b) are among the `few` nearest of one of their ends."""
     end, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
     by = np.lexsort((pair, d[pair], end))
@@ -249,13 +249,6 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similar: float) ->
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def _nearest(pairs: DataFrame, of: tuple[str, str]) -> DataFrame:
-    """For each value in the two columns `of`, the nearest pair it stands in."""
-    best = lambda end: pairs.select(F.col(end).alias("end"), F.struct("d", "u", "v").alias("pair"))
-    found = best(of[0]).union(best(of[1])).groupBy("end").agg(F.min("pair").alias("pair"))
-    return found.select("pair.u", "pair.v").distinct()
-
-
 def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """id and component (the least id reachable over links) for every row of rows (id, text), no id twice."""
     ship(rows.sparkSession)
@@ -263,32 +256,21 @@ def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     copies = marked.groupBy("digest").agg(F.min("id").alias("rep"))
     named = written(marked.join(copies.hint("merge"), "digest").select("id", "rep", "mark", "words"), "named")
     reps = named.where("id = rep").drop("rep")
-    links, found, left = None, None, None
-    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")).hint("merge")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends still lie in different components, with these as cu and cv."""
-        if found is None:
-            return pairs.select("u", "v", "d", F.col("u").alias("cu"), F.col("v").alias("cv"))
-        both = pairs.select("u", "v", "d").join(of("u"), "u", "left").join(of("v"), "v", "left")
-        return both.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).where("cu <> cv")
-
+    links, found = None, None
     slice_of = lambda w: F.shiftrightunsigned(w, WORD)
-    for first, last, rounds in ((0, FEW_SLICES, 2), (FEW_SLICES, SLICES, 3)):  # what the first slices join needs no candidates in the others
+    for first, last in zip(STEPS, STEPS[1:]):
         some = reps.withColumn("words", F.filter("words", lambda w: (slice_of(w) >= first) & (slice_of(w) < last)))  # noqa: B023
-        some = some.withColumn("own", F.col("id")) if found is None else some.join(of("id"), "id", "left").withColumn("own", F.coalesce("cid", "id"))
-        new = lasting("candidates", lambda: candidates(some))  # noqa: B023
-        left = written(apart(new if left is None else left.select("u", "v", "d").union(new)).groupBy("u", "v", "cu", "cv").agg(F.min("d").alias("d")), "left")
-        ends = left.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        if found is None:
+            some = some.withColumn("own", F.col("id"))
+        else:
+            so_far = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
+            some = some.join(so_far.hint("merge"), "id", "left").withColumn("own", F.coalesce("own", "id"))
+        pairs = lasting("candidates", lambda: candidates(some))  # noqa: B023
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         texts = written(rows.select("id", "text").join(ends.hint("merge"), "id", "left_semi"), "texts")
-        for ends in (("u", "v"), ("cu", "cv"), None)[:rounds]:
-            chosen = written(_nearest(left, ends) if ends else left.select("u", "v"), "chosen")
-            good = written(verified(chosen, texts, width, similar), "links")
-            links = good if links is None else links.union(good)
-            found = lasting("components", lambda: components(links))  # noqa: B023
-            if ends is None or left.isEmpty():
-                break
-            left = written(apart(left.join(chosen.hint("merge"), ["u", "v"], "left_anti")), "left")
+        good = written(verified(pairs, texts, width, similar), "links")
+        links = good if links is None else links.union(good)
+        found = lasting("components", lambda: components(links))  # noqa: B023
     return named.select("id", "rep").join(found, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
 
 
