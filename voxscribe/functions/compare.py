@@ -68,10 +68,12 @@ MARKS = {"US$": "USD", "$US": "USD", "A$": "AUD", "AU$": "AUD", "C$": "CAD", "CA
 
 
 @functools.cache
-def _marks() -> list[tuple[str, str]]:
+def _marks() -> tuple[dict[str, str], list[int]]:
+    """Mark → code, and the marks' lengths from the longest down."""
     codes = {c: c for c, _ in money.names().values()}
     shown = {d: c for c, d in money.DISPLAYS.items()}
-    return sorted((codes | shown | MARKS).items(), key=lambda x: -len(x[0]))
+    marks = codes | shown | MARKS
+    return marks, sorted({len(m) for m in marks}, reverse=True)
 
 
 def money_key(text: str) -> tuple[str, str] | None:
@@ -79,11 +81,12 @@ def money_key(text: str) -> tuple[str, str] | None:
     sign = ""
     if text.startswith(("-", "−")):
         sign, text = "-", text[1:].strip()
-    for mark, code in _marks():
-        if text.startswith(mark):
-            rest = text[len(mark) :].strip()
-        elif text.endswith(mark):
-            rest = text[: -len(mark)].strip()
+    marks, lengths = _marks()
+    for n in lengths:
+        if text[:n] in marks and len(text) >= n:
+            code, rest = marks[text[:n]], text[n:].strip()
+        elif text[-n:] in marks and len(text) >= n:
+            code, rest = marks[text[-n:]], text[:-n].strip()
         else:
             continue
         rest = re.sub(r"(?<=[0-9])\s+[A-Z]$", lambda m: m[0] if m[0].strip() in "MBKT" and "," not in rest else "", rest)
