@@ -29,7 +29,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     drawn = known.withColumn("_order", order).where(F.col("_order") <= share[F.col("_label")]).limit(max_rows)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col("doc_id").alias("_doc"), "text", lang.alias("lang")).where(F.length("text") <= max_chars)
-    return texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select(F.col("_label").alias("label"), "text", "lang", "_order").limit(max_rows)
+    found = texts.join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
+    one = found.groupBy("_id", "_label", "_order").agg(F.min(F.struct("text", "lang")).alias("_row"))  # of a repeated id the least text
+    return one.select(F.col("_label").alias("label"), F.col("_row.text").alias("text"), F.col("_row.lang").alias("lang"), "_order")
 
 
 def fitted(sample: DataFrame, train: Callable[[np.ndarray, list[str], list[str | None]], dict[str, np.ndarray]]) -> dict[str, np.ndarray] | None:
