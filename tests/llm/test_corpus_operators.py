@@ -598,6 +598,24 @@ def test_toxic_word_deep_in_a_long_text(spark):
     assert got == {2000: 1, 2001: 0}
 
 
+def test_toxicity_learns_from_long_texts_and_all_shards(spark):
+    """Toxic words that occur in texts of over 20,000 characters only; several shards make one model, of counts over all of them."""
+    rng = random.Random(4)
+    texts = [sentence(rng, 4500) + " vile" if i % 3 == 0 else sentence(rng, 30) for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic")
+    rows = toxicity.labelled(docs, labels, 4, 2)
+    learned = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(r["id"] for r in rows.collect()) == learned and min(len(texts[i]) for i in range(0, 240, 3)) > 20_000
+    counts = Counter(b for i in learned for b in {toxicity.bucket(w) for w in texts[i].lower().split()})
+    arrays = toxicity.train(rows, epochs=6, shard_rows=40)
+    assert arrays["buckets"].tolist() == sorted(b for b, n in counts.items() if n >= 3)
+    model = toxicity.TextCnn.of(arrays)
+    model.prepare()
+    scores = model.scores(["sun moon vile star", "sun moon star", texts[3], texts[4]])
+    assert scores[0] > scores[1] and scores[2] > scores[3]
+
+
 def test_quality_held_out_and_odd_rows(spark, empty):
     docs, labels = labelled(spark)
     out = quality.classify(docs, labels).collect()
