@@ -616,6 +616,28 @@ def test_toxicity_learns_from_long_texts_and_all_shards(spark):
     assert scores[0] > scores[1] and scores[2] > scores[3]
 
 
+def test_toxicity_keeps_what_reaches_the_driver_bounded(spark):
+    """However many words there are the model has at most BUCKETS of them, no epoch's result grows with the shards, and their average is that of plain sums."""
+    texts = [" ".join(f"w{i // 3}x{k}" for k in range(20_000)) for i in range(210)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(8)
+    rows = toxicity.labelled(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic"), 10**9, 0)
+    arrays = toxicity.train(rows, epochs=1, shard_rows=30)
+    assert 700_000 < len(arrays["buckets"]) <= toxicity.BUCKETS  # of 1,400,000 words
+    before = small_cnn(["sun", "moon", "star"]).arrays()
+    made = [{n: a + (k + 1) * np.ones_like(a) for n, a in before.items() if n in (*toxicity.SMALL, "embedding")} for k in range(2)]
+    made[0]["embedding"][1] = before["embedding"][1]  # moved by one shard only
+    found = [toxicity._changed(before, m, n) for m, n in zip(made, (1, 3))]
+    sums = {}
+    for r, w, c in zip(*map(np.concatenate, zip(*found))):
+        a, b = sums.get(r, (0, 0))
+        sums[r] = a + w, b + c
+    at = np.array(list(sums))
+    after = toxicity._moved(before, at, np.array([sums[r][0] for r in at]), list(np.array([sums[r][1] for r in at]).T))
+    moved = after["embedding"] - before["embedding"]
+    assert np.allclose(moved[1], 2, atol=1e-5) and np.allclose(moved[2:], 1.5, atol=1e-5)
+    assert all(np.allclose(after[n] - before[n], 1.75, atol=1e-5) for n in toxicity.SMALL)
+
+
 def test_quality_held_out_and_odd_rows(spark, empty):
     docs, labels = labelled(spark)
     out = quality.classify(docs, labels).collect()
