@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxscribe.llm import embedding_dedup, html_text, licenses, lm, mixing, near_copies, packing, quality, simhash, topk, toxicity
 from voxscribe.llm.components import components
@@ -219,6 +220,26 @@ def test_near_copies_match_all_pairs(spark):
     assert near_copies.groups(rows.where("false")).count() == 0
 
 
+def test_near_copies_lose_no_link(spark, monkeypatch):
+    """Pairs that are barely similar, and texts that share common lines: the groups are those of all pairs, even where the index finds no candidate."""
+    rng = random.Random(11)
+    lines = [sentence(rng, 30) for _ in range(3)]
+    texts = []
+    for k in range(150):
+        words = f"{sentence(rng, rng.choice([30, 60, 150]))} {lines[k % 3]}".split()
+        size = len(set(zip(*(words[i:] for i in range(5)))))
+        texts += [" ".join(words), " ".join(edited(rng, words, size // 45 + k % 2))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    want = all_pairs_groups(texts)
+    assert 200 < len(set(want)) < 250
+    got = {r["id"]: r["component"] for r in near_copies.groups(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    monkeypatch.setattr(near_copies, "candidates", lambda marked: marked.select(F.col("id").alias("u"), F.col("id").alias("v")).where("false"))
+    monkeypatch.setattr(near_copies, "common", lambda rows, width: (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)))
+    got = {r["id"]: r["component"] for r in near_copies.groups(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_large_group_of_near_copies(spark):
     """A third of the rows are copies of one text, each edited in another place: one group, and the others stay apart."""
     rng = random.Random(4)

@@ -11,8 +11,9 @@ Every candidate is verified by its exact similarity. The first few slices go fir
 of each other in the others; in a node of the index only a spanning forest of the nearest candidates and each document's nearest one
 are taken. So a large group of copies costs a few comparisons a document, not all its pairs.
 
-What is lost: pairs that aren't among the candidates of any slice; the share found is measured against brute force in the tests and the README. Fewer than `width` words are one
-shingle, no words none; documents without words form one group.
+Pairs that are among the candidates of no slice are met by an exact pass over prefixes (`bridges`): in one order of all shingles, two similar sets share one among the first fifth of each. Only
+shingles that documents of different components have there make candidates, so large groups that the index joined cost nothing more. So no link between components
+is lost (shingles are told apart by 64 bits of hash). Fewer than `width` words are one shingle, no words none; documents without words form one group.
 
 Defined cases: null text counts as empty; rows are told apart by the number that one_of_each gives them, so null and repeated ids lose nothing;
 repeated rows are copies; an empty table gives an empty result.
@@ -62,7 +63,8 @@ class Sketcher:
     def __init__(self, width: int):
         self.width, self.hash = width, {}
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of each text's distinct shingles, text by text in rising order; the text of each; where each text's begin."""
         docs = [(t or "").encode().lower().split() for t in texts]
         if len(self.hash) > 300_000:
             self.hash.clear()
@@ -83,9 +85,12 @@ class Sketcher:
         h, owner = h[by], owner[by]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])[: len(h)]
         h, owner = h[new], owner[new]
-        bounds = np.searchsorted(owner, np.arange(len(docs) + 1))
+        return h, owner, np.searchsorted(owner, np.arange(len(docs) + 1))
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+        h, owner, bounds = self.hashes(texts)
         digests = [xxhash.xxh3_128_digest(h[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
-        marks, words = np.zeros(len(docs), dtype=np.uint64), [np.empty(0, dtype=np.int64)] * len(docs)
+        marks, words = np.zeros(len(texts), dtype=np.uint64), [np.empty(0, dtype=np.int64)] * len(texts)
         if len(h):
             some = np.flatnonzero(np.diff(bounds))
             marks[some] = _majority(mixed(h + np.uint64(1)), bounds[some], np.diff(bounds)[some], "<u8")
@@ -96,7 +101,7 @@ class Sketcher:
             sizes = np.diff(np.append(starts, len(part)))
             parts = part[by][starts]
             word = _majority(scrambled[by] & np.uint64(2**WORD - 1), starts, sizes, "<u4") | (parts % SLICES).astype(np.uint64) << np.uint64(WORD)
-            cuts = np.searchsorted(parts, np.arange(len(docs) + 1) * SLICES)
+            cuts = np.searchsorted(parts, np.arange(len(texts) + 1) * SLICES)
             words = [word[a:b].view(np.int64) for a, b in zip(cuts, cuts[1:])]
         return digests, marks, words
 
@@ -249,6 +254,75 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similar: float) ->
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def common(rows: DataFrame, width: int, one_in: int = 8, least: int = 3, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (rising) of shingles that many rows have, and how many in a sample of the rows have them, at most `most` of the commonest. They only order the shingles of bridges(): any other list gives the same links, at another cost."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(width)
+        for b in batches:
+            h, _, _ = sketcher.hashes(b.column(0).to_pylist())
+            own, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("text").mapInArrow(run, "h long, n long")
+    counts = written(some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "common")
+    room = 0
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("of")).collect(), key=lambda r: -r["n"]):  # a row a count
+        room += r["of"]
+        if room > most:
+            least = r["n"] + 1
+            break
+    got = counts.where(F.col("n") >= least).toArrow()
+    h = got.column("h").to_numpy().view(np.uint64)
+    by = np.argsort(h)
+    return h[by], got.column("n").to_numpy()[by]
+
+
+def bridges(rows: DataFrame, width: int, similar: float, chars: int = 2_000_000) -> DataFrame:
+    """
+    rows: id, text and own (its component so far). u and v of all pairs of different components that can have that similarity: a set of n shingles shares at least similar * n with a set so similar, so
+    one of its first n - ceil(similar * n) + 1 in any order common to all (rare ones first), and the same holds for the other; and their sizes are as near.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(common(rows, width))
+    held = lambda n: np.ceil(similar * n - 1e-9).astype(np.int64)
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(width)
+        many, counts = sent.value
+
+        def out(ids, owns, texts):
+            h, owner, bounds = sketcher.hashes(texts)
+            sizes = np.diff(bounds)
+            at = np.minimum(np.searchsorted(many, h), max(len(many) - 1, 0))
+            rank = np.where(many[at] == h, counts[at], 0) if len(many) else np.zeros(len(h), dtype=np.int64)
+            by = np.lexsort((h, rank, owner))
+            first = by[np.arange(len(h)) - bounds[owner] < (sizes - held(sizes) + 1)[owner]]
+            own = owner[first]
+            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), *(pa.array(np.array(x, dtype=np.int64)[own]) for x in (ids, owns, sizes))], ["h", "id", "own", "n"])
+
+        ids, owns, texts, size = [], [], [], 0
+        for b in batches:
+            for i, o, t in zip(*b.columns):
+                ids.append(i.as_py())
+                owns.append(o.as_py())
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if size > chars:
+                    yield out(ids, owns, texts)
+                    ids, owns, texts, size = [], [], [], 0
+        if ids:
+            yield out(ids, owns, texts)
+
+    first = written(rows.select("id", "own", "text").mapInArrow(run, "h long, id long, own long, n long"), "prefixes")
+    between = first.groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("h")
+    members = written(first.join(between.hint("merge"), "h"), "bridges")
+    x, y = (members.select("h", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "own", "n")]) for end in "xy")
+    near = F.least("n_x", "n_y") >= F.lit(similar) * F.greatest("n_x", "n_y") - F.lit(1e-9)
+    return x.join(y.hint("merge"), "h").where((F.col("own_x") < F.col("own_y")) & near).select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
+
+
 def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """id and component (the least id reachable over links) for every row of rows (id, text), no id twice."""
     ship(rows.sparkSession)
@@ -258,14 +332,18 @@ def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     reps = named.where("id = rep").drop("rep")
     links, found = None, None
     slice_of = lambda w: F.shiftrightunsigned(w, WORD)
-    for first, last in zip(STEPS, STEPS[1:]):
-        some = reps.withColumn("words", F.filter("words", lambda w: (slice_of(w) >= first) & (slice_of(w) < last)))  # noqa: B023
+    for first, last in [*zip(STEPS, STEPS[1:]), (None, None)]:
+        some = reps if first is None else reps.withColumn("words", F.filter("words", lambda w: (slice_of(w) >= first) & (slice_of(w) < last)))  # noqa: B023
         if found is None:
             some = some.withColumn("own", F.col("id"))
         else:
             so_far = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
             some = some.join(so_far.hint("merge"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-        pairs = lasting("candidates", lambda: candidates(some))  # noqa: B023
+        if first is None:  # what no slice finds
+            some = some.select("id", "own").join(rows.select("id", "text"), "id")
+            pairs = lasting("bridged", lambda: bridges(some, width, similar))  # noqa: B023
+        else:
+            pairs = lasting("candidates", lambda: candidates(some))  # noqa: B023
         ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         texts = written(rows.select("id", "text").join(ends.hint("merge"), "id", "left_semi"), "texts")
         good = written(verified(pairs, texts, width, similar), "links")
