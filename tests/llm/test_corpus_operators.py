@@ -250,6 +250,26 @@ def test_large_group_of_near_copies(spark):
     assert {got[i] for i in range(1500)} == {0} and all(got[i] == i for i in range(1500, 2000))
 
 
+@pytest.mark.parametrize("crowd", [2, 64, 10**6])
+def test_prefix_pass_meets_few_pairs_and_loses_none(spark, crowd):
+    """A large component and many rows that share most of its shingles but are too far from it: few candidates, and every similar pair of different components is one."""
+    rng = random.Random(12)
+    words = sentence(rng, 150).split()
+    texts = [" ".join(edited(rng, words, rng.randrange(3))) for _ in range(200)] + [" ".join(edited(rng, words, rng.randrange(3, 7))) for _ in range(120)]
+    for size in (3, 5, 6, 12, 40, 90, 400):
+        for _ in range(6):
+            own = sentence(rng, size).split()
+            texts += [" ".join(own), " ".join(edited(rng, own, size // 45)), " ".join(own[: size - size // 8]), " ".join(words[: size // 2] + own)]
+    texts += ["", None, "one", "one"]
+    owns = [0 if i < 200 else i for i in range(len(texts))]
+    rows = spark.createDataFrame([*zip(range(len(texts)), owns, texts)], "id long, own long, text string").repartition(3)
+    sets = [near_copies.shingles(t, 5) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if owns[i] != owns[j] and sets[i] and near_copies.jaccard(sets[i], sets[j]) >= 0.8}
+    got = near_copies.bridges(rows, 5, 0.8, **{} if crowd == 64 else {"crowd": crowd}).collect()
+    assert len(got) == len(set(got)) and {(r["u"], r["v"]) for r in got} >= want
+    assert len(want) > 50 and len(got) < 3 * len(want)
+
+
 def test_sketches_of_a_text_do_not_depend_on_its_neighbours():
     texts = [r[1] for r in rows()]
     digests, marks, words = near_copies.Sketcher(5)(texts)

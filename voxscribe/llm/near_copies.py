@@ -12,7 +12,8 @@ of each other in the others; in a node of the index only a spanning forest of th
 are taken. So a large group of copies costs a few comparisons a document, not all its pairs.
 
 Pairs that are among the candidates of no slice are met by an exact pass over prefixes (`bridges`): in one order of all shingles, two similar sets share one among the first fifth of each. Only
-shingles that documents of different components have there make candidates, so large groups that the index joined cost nothing more. So no link between components
+shingles that documents of different components have there make candidates, so large groups that the index joined cost nothing more; how many shingles two sizes must share bounds how late a shared one
+may come, and parity bits bound from below how many they don't share. So no link between components
 is lost (shingles are told apart by 64 bits of hash). Fewer than `width` words are one shingle, no words none; documents without words form one group.
 
 Defined cases: null text counts as empty; rows are told apart by the number that one_of_each gives them, so null and repeated ids lose nothing;
@@ -21,6 +22,7 @@ repeated rows are copies; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,7 @@ SLICES = 16
 STEPS = (0, 3, SLICES)  # slices that are searched together; what the first ones link needs no candidates in the others
 WORD = 28
 NEAR = 16  # of 64 bits; at a similarity of 0.8 a pair differs in ten on average, rarely in more than sixteen
+PARITY = ("p0", "p1", "p2", "p3")  # 64 parity bits each
 UPPER = (1 << 64) - (1 << WORD)  # the bits of a slice's word that name the slice
 
 
@@ -57,6 +60,17 @@ def _majority(bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kind: str
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(kind).ravel().astype(np.uint64)
 
 
+def parities(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Words of 64 bits for each set of hashes (bounds: where each begins): a bit tells whether the number of the set's hashes that fall on it is odd."""
+    bit = mixed(h + np.uint64(3)) % np.uint64(64 * len(PARITY))
+    some, mask = np.flatnonzero(np.diff(bounds)), np.uint64(1) << bit % np.uint64(64)
+    out = [np.zeros(len(bounds) - 1, dtype=np.uint64) for _ in PARITY]
+    for k, words in enumerate(out):
+        if len(h):
+            words[some] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, mask, np.uint64(0)), bounds[some])
+    return [words.view(np.int64) for words in out]
+
+
 class Sketcher:
     """Digests, fingerprints and slices' words of texts; keeps hashes of words for the next texts."""
 
@@ -279,10 +293,14 @@ def common(rows: DataFrame, width: int, one_in: int = 8, least: int = 3, most: i
     return h[by], got.column("n").to_numpy()[by]
 
 
-def bridges(rows: DataFrame, width: int, similar: float, chars: int = 2_000_000) -> DataFrame:
+def bridges(rows: DataFrame, width: int, similar: float, chars: int = 2_000_000, crowd: int = 64) -> DataFrame:
     """
-    rows: id, text and own (its component so far). u and v of all pairs of different components that can have that similarity: a set of n shingles shares at least similar * n with a set so similar, so
-    one of its first n - ceil(similar * n) + 1 in any order common to all (rare ones first), and the same holds for the other; and their sizes are as near.
+    rows: id, text and own (its component so far). u and v of all pairs of different components that can have that similarity. Sets of n and m shingles are so similar if and only if they share
+    `both` = ceil(similar / (1 + similar) * (n + m)) at least; then one of the first n - both + 1 of the one, in any order common to all (rare ones first), is among the first m - both + 1 of the other,
+    and at most n + m - 2 * both are in one alone. Each set has 256 parity bits, and every bit in which two sets differ takes a shingle that one has alone.
+
+    A shingle that over `crowd` documents have there is dealt by classes of sizes: a document goes to a class of its partners only if the shingle comes early enough for it, so members of a large group of
+    near copies that are too far apart seldom meet at all; and those of the component that has most of its rows are met by others only.
     """
     sent = rows.sparkSession.sparkContext.broadcast(common(rows, width))
     held = lambda n: np.ceil(similar * n - 1e-9).astype(np.int64)
@@ -299,8 +317,9 @@ def bridges(rows: DataFrame, width: int, similar: float, chars: int = 2_000_000)
             rank = np.where(many[at] == h, counts[at], 0) if len(many) else np.zeros(len(h), dtype=np.int64)
             by = np.lexsort((h, rank, owner))
             first = by[np.arange(len(h)) - bounds[owner] < (sizes - held(sizes) + 1)[owner]]
-            own = owner[first]
-            return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), *(pa.array(np.array(x, dtype=np.int64)[own]) for x in (ids, owns, sizes))], ["h", "id", "own", "n"])
+            ends = np.searchsorted(owner[first], np.arange(len(texts) + 1))
+            firsts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[first].view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, parities(h, bounds)), firsts], ["id", "own", "n", *PARITY, "first"])
 
         ids, owns, texts, size = [], [], [], 0
         for b in batches:
@@ -315,12 +334,28 @@ def bridges(rows: DataFrame, width: int, similar: float, chars: int = 2_000_000)
         if ids:
             yield out(ids, owns, texts)
 
-    first = written(rows.select("id", "own", "text").mapInArrow(run, "h long, id long, own long, n long"), "prefixes")
-    between = first.groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("h")
-    members = written(first.join(between.hint("merge"), "h"), "bridges")
-    x, y = (members.select("h", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "own", "n")]) for end in "xy")
-    near = F.least("n_x", "n_y") >= F.lit(similar) * F.greatest("n_x", "n_y") - F.lit(1e-9)
-    return x.join(y.hint("merge"), "h").where((F.col("own_x") < F.col("own_y")) & near).select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
+    schema = f"id long, own long, n long, {', '.join(f'{c} long' for c in PARITY)}, first array<long>"
+    sets = written(rows.select("id", "own", "text").mapInArrow(run, schema), "prefixes")
+    first = sets.select("id", "own", F.posexplode("first").alias("pos", "h"))
+    lists = first.groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("of")).where("low < high").select("h", (F.col("of") > crowd).alias("crowded"))
+    members = first.select("h", "id", "pos").join(lists.hint("merge"), "h").join(sets.drop("first").hint("merge"), "id")
+    step = 1.1
+    both = lambda total: F.ceil(F.lit(similar / (1 + similar)) * total - F.lit(1e-6))
+    size_class = lambda n: F.floor(F.log(n) / F.lit(float(np.log(step))) + F.lit(1e-9))
+    least = F.greatest(F.pow(F.lit(step), F.col("other")) * F.lit(1 - 1e-6), F.col("n") * F.lit(similar))  # a partner's size in that class
+    classes = F.when(F.col("crowded"), F.sequence(size_class(F.col("n") * F.lit(similar * (1 - 1e-6))), size_class(F.col("n") / F.lit(similar * (1 - 1e-6))))).otherwise(F.array(F.lit(0).cast("long")))
+    members = members.withColumn("class", F.when(F.col("crowded"), size_class(F.col("n"))).otherwise(F.lit(0))).withColumn("other", F.explode(classes))
+    members = members.where(~F.col("crowded") | (F.col("pos") <= F.col("n") - both(F.col("n") + least)))
+    members = written(members.select("h", "class", "other", "crowded", "id", "own", "n", "pos", *PARITY), "bridges")
+    largest = members.where("crowded").groupBy("h", "own").agg(F.count("*").alias("of")).groupBy("h").agg(F.max_by("own", F.struct("of", "own")).alias("main"))
+    fields = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("id", "own", "n", "pos", *PARITY)]
+    x = members.join(largest.hint("merge"), "h", "left").where("main is null or own <> main").select("h", "class", "other", "main", *fields("x"))
+    y = members.select("h", F.col("class").alias("other"), F.col("other").alias("class"), *fields("y"))
+    need = both(F.col("n_x") + F.col("n_y"))
+    apart = functools.reduce(Column.__add__, [F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in PARITY])
+    near = (F.col("pos_x") <= F.col("n_x") - need) & (F.col("pos_y") <= F.col("n_y") - need) & (apart <= F.col("n_x") + F.col("n_y") - 2 * need)
+    other = F.expr("own_x < own_y or own_x > own_y and own_y <=> main")
+    return x.join(y.hint("merge"), ["h", "class", "other"]).where(other & near).select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
 
 
 def groups(rows: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
